@@ -81,20 +81,47 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return state
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each row.
+def _hash(id_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit("mix")), 64 - BITS * LEVELS)
 
-    size: words of the text, 0 for null. taken: size times how often the row is
-    in the mix, from 0 to `most` times. The hash is of the id, so reruns agree
-    and copies of a text are apart; rows that repeat an id are taken alike, and
-    so are rows without one. Rows of a null source are a source. An empty
-    source has target 0.
-    """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"))
-    rows = cut(rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 64 - BITS * LEVELS)))
+
+def _words(text_col: str) -> Column:
+    return F.size(words_of(text_or_empty(text_col))).cast("long")
+
+
+def plan(rows: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """_s (a source), source_size, target, passes, below, for rows (source, size, hash) that can be read several times."""
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
     edge = thresholds(rows, goals).withColumnRenamed("source", "_s")
-    per_source = goals.join(edge, _same(F.col("source"), F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("below", F.lit(0)).alias("below"))
-    out = rows.join(per_source, _same(F.col("source"), F.col("_s")))
-    times = F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.least(times, F.lit(int(most))) * F.col("size")).cast("long").alias("taken"), F.least(times, F.lit(int(most))).cast("int").alias("times"))
+    found = goals.join(edge, _same(F.col("source"), F.col("_s")), "left")
+    return cut(found.select(F.col("source").alias("_s"), "source_size", "target", F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("below", F.lit(0)).alias("below")))
+
+
+def _times(hash_col: str, most: float) -> Column:
+    return F.least(F.col("passes") + F.when(F.col(hash_col) < F.col("below"), 1).otherwise(0), F.lit(int(most))).cast("int")
+
+
+def sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    return cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(text_col).alias("size")).withColumn("hash", _hash("doc_id")))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, times of each row.
+
+    size: words of the text, 0 for null. times: how often the row is in the
+    mix, from 0 to `most`; taken: size times that. The hash is of the id, so
+    reruns agree and copies of a text are apart; rows that repeat an id are
+    taken alike, and so are rows without one. Rows of a null source are a
+    source. An empty source has target 0.
+    """
+    rows = sizes(df, id_col, source_col, text_col)
+    out = rows.join(plan(rows, share, most, weights), _same(F.col("source"), F.col("_s"))).withColumn("times", _times("hash", most))
+    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("times") * F.col("size")).cast("long").alias("taken"), "times")
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The rows of a table as often as the mix takes them; its columns stay. Texts aren't shuffled as long as the sources' plan is small enough to broadcast."""
+    per_source = plan(sizes(df, id_col, source_col, text_col), share, most, weights)
+    rows = df.select(F.struct("*").alias("_row"), F.col(source_col).cast("string").alias("_source"), _hash(id_col).alias("_hash"))
+    rows = rows.join(per_source, _same(F.col("_source"), F.col("_s"))).withColumn("_times", _times("_hash", most)).where("_times > 0")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("_row.*")

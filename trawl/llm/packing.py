@@ -14,6 +14,7 @@ holds a third of all pieces is spread.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,78 +29,93 @@ from trawl.llm.common import cut
 SALT_ROWS = 50_000
 
 
-def _fill(avail: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, none above top, that sum to gap; of several the one with the longest first, then the longest second."""
-    if gap <= top and avail[gap] > 0:
-        return (gap,)
-    there = avail > 0
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        hi = min(most, total - 1)
-        lo = -(-total // 2)
-        if hi < lo:
-            return None
-        a = np.arange(hi, lo - 1, -1)
-        ok = there[a] & there[total - a]
-        if total % 2 == 0 and ok[-1] and avail[lo] < 2:
-            ok[-1] = False
-        k = int(ok.argmax())
-        return (int(a[k]), int(total - a[k])) if ok[k] else None
-
-    if got := pair(gap, min(top, gap - 1)):
-        return got
-    for a in np.flatnonzero(there[: min(top, gap - 2) + 1])[::-1]:
-        if 3 * a < gap:
-            break
-        got = pair(gap - int(a), int(a))
-        if got and all(avail[x] >= n for x, n in zip(*np.unique([a, *got], return_counts=True), strict=True)):
-            return (int(a), *got)
-    return None
+class Available:
+    """Counts of lengths, and the set of lengths that are left as bits of one number, forwards and backwards; so whether some pair has a sum is one shift."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.size, self.count = size, [0] * (size + 1)
+        self.bits = self.back = 0
+        for k, n in counts.items():
+            self.count[k] = n
+            if n:
+                self.bits |= 1 << k
+                self.back |= 1 << (size - k)
+
+    def take(self, k: int, n: int) -> None:
+        self.count[k] -= n
+        if not self.count[k]:
+            self.bits &= ~(1 << k)
+            self.back &= ~(1 << (self.size - k))
+
+    def pair(self, total: int, top: int) -> tuple[int, int] | None:
+        """Two lengths up to top with that sum, the longest one first."""
+        both = self.bits & (self.back >> (self.size - total)) & ((2 << min(top, total - 1)) - 1)
+        if total % 2 == 0 and self.count[total // 2] < 2:
+            both &= ~(1 << (total // 2))
+        a = both.bit_length() - 1
+        return (a, total - a) if a > 0 and 2 * a >= total else None
+
+    def fill(self, gap: int, top: int) -> tuple[int, ...] | None:
+        """One, two or three lengths up to top that sum to gap; of several the one with the longest first, then the longest second."""
+        if gap <= top and self.count[gap]:
+            return (gap,)
+        if got := self.pair(gap, top):
+            return got
+        a = min(top, gap - 2)
+        while 3 * a >= gap:
+            if self.count[a]:
+                self.count[a] -= 1
+                got = self.pair(gap - a, a if self.count[a] else a - 1)
+                self.count[a] += 1
+                if got and (got[0] != got[1] or self.count[got[0]] >= 2 + (a == got[0])):
+                    return (a, *got)
+            a -= 1
+        return None
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, how many of them), for a histogram of lengths from 1 to size."""
-    avail = np.zeros(size + 1, np.int64)
-    for k, n in counts.items():
-        avail[k] = n
+    left = Available(counts, size)
     out: list[tuple[tuple[int, ...], int]] = []
     rest: list[tuple[int, int]] = []
     for x in range(size, 0, -1):
-        while avail[x]:
-            if x == size:
-                got: tuple[int, ...] | None = ()
-            else:
-                avail[x] -= 1
-                got = _fill(avail, size - x, x)
-                avail[x] += 1
+        while n := left.count[x]:
+            left.count[x] -= 1
+            got = () if x == size else left.fill(size - x, x if n > 1 else x - 1)
+            left.count[x] += 1
             if got is None:
-                rest.append((x, int(avail[x])))
-                avail[x] = 0
+                rest.append((x, n))
+                left.take(x, n)
                 break
-            kinds, uses = np.unique([x, *got], return_counts=True)
-            n = int((avail[kinds] // uses).min())
-            avail[kinds] -= uses * n
+            uses = Counter((x, *got))
+            n = min(left.count[k] // u for k, u in uses.items())
+            for k, u in uses.items():
+                left.take(k, u * n)
             out.append(((x, *got), n))
     # best fit of the rest: sequences by the room that is left, each with how many there are
-    room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    room: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(size + 1)]
+    open_ = 0  # rooms that have sequences, as bits
     for x, n in rest:
         while n:
-            best = min((r for r, v in room.items() if r >= x and v), default=None)
-            if best is None:
+            fit = open_ >> x
+            if not fit:
                 per = size // x
-                if n >= per:
-                    room.setdefault(size - per * x, []).append(((x,) * per, n // per))
-                    n %= per
-                if n:
-                    room.setdefault(size - n * x, []).append(((x,) * n, 1))
+                for many, times in ((per, n // per), (n % per, 1)):
+                    if many and times:
+                        room[size - many * x].append(((x,) * many, times))
+                        open_ |= 1 << (size - many * x)
                 break
+            best = x + (fit & -fit).bit_length() - 1
             kind, m = room[best].pop()
             used = min(n, m)
             if m > used:
                 room[best].append((kind, m - used))
-            room.setdefault(best - x, []).append(((*kind, x), used))
+            if not room[best]:
+                open_ &= ~(1 << best)
+            room[best - x].append(((*kind, x), used))
+            open_ |= 1 << (best - x)
             n -= used
-    return out + [p for v in room.values() for p in v]
+    return out + [p for v in room for p in v]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
@@ -137,10 +153,13 @@ class WordIds:
         if len(self.young) + len(need) > self.most:
             self.old, self.young = self.young, {"": b""}
         known = self.young
-        for w in need - known.keys() - long_:
-            if w in self.old:
-                known[w] = self.old[w]
-        new = list(need - known.keys())
+        new = []
+        for w in need:
+            if w not in known:
+                if w in self.old:
+                    known[w] = self.old[w]
+                else:
+                    new.append(w)
         known |= zip(new, self.ids(new), strict=True)
         out = [b"".join([known[w] for w in words]) for words in split]
         for w in long_:

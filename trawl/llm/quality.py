@@ -47,51 +47,64 @@ def repeated_words(words: Column, width: int = 8) -> Column:
     )
 
 
-def base_measures(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    text = text_or_empty(text_col)
-    lines = lines_with_words(F.col("_text"))
-    rows = df.select(F.col(id_col).alias("doc_id"), *more, text.alias("_text"))
-    rows = rows.withColumn("_words", words_of(F.col("_text")))
-    return rows.select(
-        "doc_id",
-        *more,
+def removed_words(df: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least_texts: int) -> DataFrame:
+    """_h, _t, _d (host, text hash, id) and how many words of such a row are in lines above the limit; rows without any are left out."""
+    line_hash = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, f"[{SPACE}]+", " "))))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
+    held = F.transform(lines_with_words(F.col("_text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
+    lines = rows.select("doc_id", "host", "text_hash", F.explode(held).alias("x")).select("doc_id", "host", "text_hash", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    texts = rows.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    by_text = lines.groupBy("host", "h", "text_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    by_line = by_text.groupBy("host", "h").agg(F.count("*").alias("in_texts"), F.min("first").alias("first")).where(F.col("in_texts") >= least_texts)
+    above = by_line.join(texts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).where(F.col("in_texts") > share * F.col("texts"))
+    above = cut(above.select(F.col("host").alias("_h"), F.col("h").alias("_l"), "first"))
+    gone = lines.join(above, F.col("host").eqNullSafe(F.col("_h")) & (F.col("h") == F.col("_l")))
+    gone = gone.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).groupBy("host", "text_hash", "doc_id").agg(F.sum("n").alias("removed"))
+    # rows that repeat an id and text were summed together
+    twins = rows.groupBy("host", "text_hash", "doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    twins = twins.select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("doc_id").alias("_d"), "times")
+    same = F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    gone = gone.join(twins, same, "left").withColumn("removed", (F.col("removed") / F.coalesce("times", F.lit(1))).cast("long"))
+    return cut(gone.select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("doc_id").alias("_d"), "removed"))
+
+
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, least_texts: int = 20, least_words: int = 20) -> DataFrame:
+    """Each row of a table as a struct _row, with the measures and verdict of quality() beside it. The removed words are a table on disk by then: rows are shuffled only if it is too large to broadcast."""
+    text = F.col("_text")
+    lines = lines_with_words(text)
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), text_or_empty(text_col).alias("_text"))
+    rows = rows.withColumn("_words", words_of(text))
+    rows = rows.select(
+        "_row",
+        "_id",
+        "_host",
+        F.xxhash64("_text").alias("_hash"),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.aggregate(F.array(lines), F.lit(0).cast("long"), lambda _, x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
     )
+    gone = removed_words(df, id_col, text_col, host_col, share, least_texts)
+    out = rows.join(gone, F.col("_hash").eqNullSafe(F.col("_t")) & F.col("_id").eqNullSafe(F.col("_d")) & F.col("_host").eqNullSafe(F.col("_h")), "left")
+    removed = F.coalesce("removed", F.lit(0)).cast("long")
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return out.select("_row", F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_words") - removed >= least_words)).alias("kept"), removed.alias("removed_words"))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, least_texts: int = 20, least_words: int = 20) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept of each row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words of each row.
 
     A line is above the limit if more than `share` of the host's distinct texts
     have it, and at least `least_texts`. Equal texts count once, so that copies
     of a text don't condemn it. A document is depleted if fewer than
     `least_words` words outlast the removal. A null text is empty and fails the
-    base rules; a null host is a host; a null id is kept apart from others by
-    its text; rows that repeat an id and text are judged alike.
+    base rules; a null host is a host; rows without an id are told apart by
+    their texts; rows that repeat an id and text are judged alike.
     """
-    line_hash = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, f"[{SPACE}]+", " "))))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("_text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("_text"))
-    # one row for each distinct line of a text, with the words that it holds there in all
-    held = F.transform(lines_with_words(F.col("_text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
-    lines = rows.select("doc_id", "host", "text_hash", F.explode(held).alias("x")).select("doc_id", "host", "text_hash", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    texts = rows.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
-    by_text = lines.groupBy("host", "h", "text_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    by_line = by_text.groupBy("host", "h").agg(F.count("*").alias("in_texts"), F.min("first").alias("first")).where(F.col("in_texts") >= least_texts)
-    above = by_line.join(texts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).where(F.col("in_texts") > share * F.col("texts"))
-    above = cut(above.select(F.col("host").alias("_h"), F.col("h").alias("_l"), "first"))
-    gone = lines.join(above, F.col("host").eqNullSafe(F.col("_h")) & (F.col("h") == F.col("_l")))
-    gone = gone.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("host", "text_hash", "doc_id").agg(F.sum("n").alias("removed"), F.count("*").alias("_many"))
-    base = base_measures(df.withColumn("_host", F.col(host_col).cast("string")).withColumn("_hash", F.xxhash64(text_or_empty(text_col))), id_col, text_col, "_host", "_hash")
-    twins = rows.groupBy("host", "text_hash", "doc_id").agg(F.count("*").alias("times")).where("times > 1")
-    gone = gone.join(twins.select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("doc_id").alias("_d"), "times"), F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    gone = gone.select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("doc_id").alias("_d"), (F.col("removed") / F.coalesce("times", F.lit(1))).cast("long").alias("removed"))
-    out = base.join(gone, F.col("_hash").eqNullSafe(F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_host").eqNullSafe(F.col("_h")), "left")
-    removed = F.coalesce("removed", F.lit(0)).cast("long")
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_words") - removed >= least_words)).alias("kept"), removed.alias("removed_words"))
+    return judged(df, id_col, text_col, host_col, share, least_texts, least_words).drop("_row")
+
+
+def good_rows(df: DataFrame, **rules) -> DataFrame:
+    """The rows of a table that quality() keeps; its columns stay."""
+    return judged(df, **rules).where("kept").select("_row.*")

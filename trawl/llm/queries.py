@@ -12,6 +12,7 @@ from trawl.llm.packing import pack_documents
 from trawl.llm.quality import quality
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.tokens import token_counts
+from trawl.llm.toxicity import toxicity
 
 
 def vocabulary() -> str:
@@ -32,6 +33,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -40,5 +45,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op4_simhash_near_dedup, op6_quality_rules, op8_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op8_mixing)}
 ORACLES: dict[str, str] = {}

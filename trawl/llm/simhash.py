@@ -188,3 +188,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = fps.join(named, F.col("fp") == F.col("_f"), "left").select("fp", "n", F.coalesce("name", "least").alias("component_id"))
     out = join_hot(docs, cut(names), "fp", "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of a table without those that near_duplicates() drops; its columns stay. Rows without an id stay."""
+    gone = near_duplicates(df, id_col, text_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(cut(gone), F.col(id_col) == F.col("_gone"), "left_anti")

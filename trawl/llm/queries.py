@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm.common import table
+from trawl.llm.embeddings import near_vectors
 from trawl.llm.mixing import mix
 from trawl.llm.packing import pack_documents
 from trawl.llm.quality import quality
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.tokens import token_counts
 from trawl.llm.toxicity import toxicity
+from trawl.llm.warc import warc_round_trip
 
 
 def vocabulary() -> str:
@@ -25,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
 
@@ -45,5 +51,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op8_mixing)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op8_mixing, op10_warc)}
 ORACLES: dict[str, str] = {}

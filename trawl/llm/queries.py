@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm.common import table
 from trawl.llm.embeddings import near_vectors
+from trawl.llm.extraction import main_text
+from trawl.llm.licenses import license_scan
 from trawl.llm.mixing import mix
 from trawl.llm.packing import pack_documents
 from trawl.llm.quality import quality
@@ -47,13 +49,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op8_mixing, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc)}
 ORACLES: dict[str, str] = {}

@@ -22,7 +22,7 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 def strip_undecodable(content: Column) -> Column:
     """Bytes as UTF-8 text, without what can't be decoded."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def html_to_text(html: Column) -> Column:

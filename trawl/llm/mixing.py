@@ -82,7 +82,9 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _hash(id_col: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(id_col, F.lit("mix")), 64 - BITS * LEVELS)
+    """BITS * LEVELS bits of a hash that SQL engines have in common; a null id has one too."""
+    text = F.concat_ws("-", F.col(id_col).cast("string"), F.lit("mix"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def _words(text_col: str) -> Column:

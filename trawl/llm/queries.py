@@ -11,6 +11,7 @@ from trawl.llm.embeddings import near_vectors
 from trawl.llm.extraction import main_text
 from trawl.llm.licenses import license_scan
 from trawl.llm.mixing import mix
+from trawl.llm.oracles import ORACLES
 from trawl.llm.packing import pack_documents
 from trawl.llm.quality import quality
 from trawl.llm.simhash import near_duplicates
@@ -66,4 +67,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

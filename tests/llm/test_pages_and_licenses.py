@@ -47,6 +47,8 @@ def test_read_one_page():
     assert read("", {}) == "" and read("plain & text < 3", {}) == "plain & text < 3"
     assert read("<div>kept</div><div class=sidebar>no</div><p>too", {}) == "kept\ntoo"
     assert read("<p>a<<b>b</b", {}).startswith("a")
+    assert read("<div>no</div><div class='content has-sidebar'><p>yes</p><div class=sidebar>no</div></div>", {}) == "yes"
+    assert read("<main><h1>T</h1><article class=comment>no</article><aside><article>no</article></aside><p>yes</main>", {}) == "T\nyes"
 
 
 def test_alignment_finds_slots_repeats_and_options():

@@ -52,11 +52,11 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, key string")
 
 
-@pytest.mark.parametrize("members,visitors", [(2048, 8192), (16, 8)])
-def test_near_vectors(spark, sf, vectors, monkeypatch, members, visitors):
+@pytest.mark.parametrize("members,visitors,k", [(2048, 8192, None), (16, 8, 24)])
+def test_near_vectors(spark, sf, vectors, monkeypatch, members, visitors, k):
     monkeypatch.setattr(E, "MEMBERS", members)
     monkeypatch.setattr(E, "VISITORS", visitors)
-    got = Counter((g.vec_id, g.n_links, g.component_id) for g in near_vectors(vectors).collect())
+    got = Counter((g.vec_id, g.n_links, g.component_id) for g in near_vectors(vectors, k=k).collect())
     assert got == brute(vectors.collect(), 0.98)
 
 

@@ -181,9 +181,15 @@ def sound(vector: Column) -> Column:
     return F.coalesce(~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(df: DataFrame, least: float = 0.98, k: int = 24, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def centroids(largest: int) -> int:
+    """Centroids of a half for a label of that many vectors: cells of two blocks each, or as many as codebooks can have before visits outweigh what they save."""
+    return int(min(64, max(2, np.ceil(np.sqrt(largest / (2 * MEMBERS))))))
+
+
+def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
+    k: centroids of each codebook; by default they follow the largest label.
     Rows link if their labels are equal and not null and their cosine is at
     least `least`. Vectors without a direction link with nothing, and neither do
     vectors of different lengths. Equal vectors of a label are one vector that
@@ -199,6 +205,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, k: int = 24, id_col: str =
     node = F.coalesce("least", F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))
     reps = cut(grouped.withColumn("node", node))
     found = None
+    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    k = k or centroids(largest)
     for r in reps.groupBy(F.size("embedding").alias("w")).count().collect():  # lengths of vectors, as a rule one
         if r["w"] > 1 and r["count"] > 1:
             one = _linked(reps.where(F.size("embedding") == r["w"]), r["w"], least, k)

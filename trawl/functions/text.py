@@ -68,8 +68,7 @@ def analysed(text: Column, stop: list[str] | None = None, bigrams: bool = True)
         one = F.filter(one, lambda w: ~w.isin(stop))
     if not bigrams:
         return one
-    two = F.transform(F.slice(one, 1, F.greatest(F.size(one) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at(one, i + 2)))
-    return F.concat(one, two)
+    return once(one, F.array().cast("array<string>"), lambda v: F.concat(v, F.transform(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at(v, i + 2)))))
 
 
 def named(text: Column, known: Column | None = None) -> Column:
@@ -171,10 +170,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, empty: Column, use) -> Column:
+    """use(value) with the value made once for a row: an expression that a lambda names is otherwise made anew for each element."""
+    return F.aggregate(F.array(value), empty, lambda _, v: use(v))
+
+
 def unit(vector: Column, epsilon: float = 0.0) -> Column:
     norm = F.sqrt(F.aggregate(doubles(vector), F.lit(0.0), lambda s, x: s + x * x)) + F.lit(epsilon)
-    return F.transform(doubles(vector), lambda x: x / norm)
+    return once(norm, F.array().cast("array<double>"), lambda n: F.transform(doubles(vector), lambda x: x / n))
 
 
-def ngrams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def ngrams(words_: Column, n: int) -> Column:
+    none = F.array().cast("array<string>")
+    return once(words_, none, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none))

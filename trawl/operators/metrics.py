@@ -55,16 +55,14 @@ def means(per: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in names])
 
 
-def rouge_n(pairs: DataFrame, n: int, prediction: str = "prediction", gold: str = "gold") -> DataFrame:
-    """Adds rouge_n, the F measure of shared n-grams (with multiplicity) of lower-case letter and digit runs, without stemming."""
+def rouge_n(pairs: DataFrame, n: int, keys: list[str], prediction: str = "prediction", gold: str = "gold") -> DataFrame:
+    """keys, rouge_n: the F measure of shared n-grams (with multiplicity) of lower-case letter and digit runs, without stemming. Keys tell the pairs apart."""
     grams = lambda c: ngrams(tokens(F.col(c)), n)
-    counted = lambda a: F.transform(F.array_distinct(a), lambda g: F.struct(g.alias("g"), F.size(F.filter(a, lambda x: x == g)).alias("n")))
-    p, g = F.col("_p"), F.col("_g")
-    rows = pairs.withColumn("_p", grams(prediction)).withColumn("_g", grams(gold)).withColumn("_pc", counted(p)).withColumn("_gc", counted(g))
-    both = F.aggregate("_pc", F.lit(0), lambda s, x: s + F.least(x["n"], F.coalesce(F.get(F.filter("_gc", lambda y: y["g"] == x["g"]), 0)["n"], F.lit(0))))
-    rows = rows.withColumn("_hit", both)
-    value = F.when(F.col("_hit") > 0, 2.0 * F.col("_hit") / (F.size(p) + F.size(g))).otherwise(0.0)
-    return rows.withColumn(f"rouge_{n}", F.round(value, 9)).drop("_p", "_g", "_pc", "_gc", "_hit")
+    counted = lambda c, name: pairs.select(*keys, F.explode(grams(c)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias(name))
+    hits = counted(prediction, "p").join(counted(gold, "r"), [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("hits"))
+    many = lambda c: F.greatest(F.size(tokens(F.col(c))) - (n - 1), F.lit(0))
+    rows = pairs.select(*keys, (many(prediction) + many(gold)).alias("total")).join(hits, keys, "left")
+    return rows.select(*keys, F.round(F.when(F.col("hits") > 0, 2.0 * F.col("hits") / F.col("total")).otherwise(0.0), 9).alias(f"rouge_{n}"))
 
 
 def lcs(a: list[str], b: list[str]) -> int:

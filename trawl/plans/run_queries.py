@@ -239,7 +239,8 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rouge_n(spark, sf):
-    return metrics.rouge_n(metrics.rouge_n(turns(spark, sf), 1), 2).select("conv_id", "turn", "rouge_1", "rouge_2")
+    keys = ["conv_id", "turn"]
+    return metrics.rouge_n(turns(spark, sf), 1, keys).join(metrics.rouge_n(turns(spark, sf), 2, keys), keys)
 
 
 def rouge_l_bleu(spark, sf):

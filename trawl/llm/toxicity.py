@@ -82,7 +82,8 @@ class Distances:
                 continue
             if (x := old.get(w)) is None:
                 b = framed(w)
-                x = (len(ordinary(b)) - len(toxic(b))) / max(WIDTH, len(b) - len(CARRIER))
+                # what is too short to have been weighed says nothing
+                x = (len(ordinary(b)) - len(toxic(b))) / max(WIDTH, len(b) - len(CARRIER)) if len(w) >= STEMS[0] else -1.0
             young[w] = x
         return [young[w] for w in found]
 

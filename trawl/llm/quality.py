@@ -28,23 +28,26 @@ def repeated_words(words: Column, width: int = 8) -> Column:
     a window whose neighbour has the same hash repeats; its place covers what
     the next such place doesn't. n log n whatever repeats.
     """
-    places = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice(words, i, width)))
+    zero = F.lit(0).cast("long")
 
     def of(h: Column) -> Column:
         order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.aggregate(F.array(order), F.lit(0).cast("long"), lambda _, s: covered(s))
+        return F.aggregate(F.array(order), zero, lambda _, s: covered(s))
 
     def covered(s: Column) -> Column:
         twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]).eqNullSafe(True) | (F.get(s, i + 1)["h"] == x["h"]).eqNullSafe(True))
         at = F.sort_array(F.transform(twice, lambda x: x["i"]))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last"))
-        step = F.aggregate(at, zero, lambda a, i: F.struct((a["n"] + F.least(F.lit(width), i - a["last"])).cast("long").alias("n"), i.alias("last")))
+        start = F.struct(zero.alias("n"), F.lit(-width).alias("last"))
+        step = F.aggregate(at, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(width), i - a["last"])).cast("long").alias("n"), i.alias("last")))
         return step["n"]
 
-    return F.when(F.size(words) <= width, F.lit(0).cast("long")).otherwise(
-        F.aggregate(F.array(hashes), F.lit(0).cast("long"), lambda _, h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(of(h)))
-    )
+    def counted(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
+        many = F.aggregate(F.array(hashes), zero, lambda _, h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(of(h)))
+        return F.when(F.size(w) <= width, zero).otherwise(many)
+
+    # an aggregate over one array binds it to a variable: it is made once, wherever the optimizer puts this expression
+    return F.aggregate(F.array(words), zero, lambda _, w: counted(w))
 
 
 def removed_words(df: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least_texts: int) -> DataFrame:

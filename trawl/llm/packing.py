@@ -27,6 +27,8 @@ from trawl.llm.common import cut
 
 #: Pieces that are ranked in one window at most, on average.
 SALT_ROWS = 50_000
+#: A control character, which stands between words that are encoded together.
+MARK = "\x01"
 
 
 class Available:
@@ -136,15 +138,33 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
 class WordIds:
     """A tokenizer's ids for texts, as bytes of little-endian numbers. The vocabulary never joins what white space parts, so words are looked up one by one; two generations of known words bound the memory."""
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_str(spec), most
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        """Ids of words one by one. They go to the library many at a time, between them a mark that is one token and no part of a word; words that hold the mark go alone."""
+        if self.mark is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        number = self.mark
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            if any(MARK in w for w in part):
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(part, add_special_tokens=False)]
+                continue
+            ids = np.array(self.library.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for e in ends:
+                out.append(raw[4 * at : 4 * e])
+                at = e + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]

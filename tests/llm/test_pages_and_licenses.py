@@ -93,3 +93,17 @@ def test_main_text_of_the_table(spark, sf):
 
 def test_sample_is_bounded():
     assert len(stream("<p>x</p>" * 10_000)) <= X.ALIGNED + 1
+
+
+def test_fixed_text_goes_by_its_place_inside_articles_too():
+    """A host-wide notice of neutral class or none goes wherever it stands; the same words at another place stay."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(30))
+    page = lambda n, more="": f"<body><article><div class=k7>All prices <b>may</b> change.</div><h1>Title {n}</h1><p>{own(n)}<p>Read on at our shop.</p>{more}</article></body>"
+    rules = infer([page(n) for n in range(4)])
+    got = read(page(9, "<blockquote>All prices may change.</blockquote>"), rules)
+    assert got == f"Title 9\n{own(9)}\nAll prices may change."
+    # near copies are no evidence of a host's own text
+    assert infer([page(1).replace("w1x3 ", f"v{n} ") for n in range(6)]) == {}
+    # an article with nothing but fixed text doesn't hide what varies beside it
+    other = lambda n: f"<body><main><p>Please allow scripts.</p></main><div class=z>{own(n)}</div></body>"
+    assert read(other(8), {"body/main/p": ["Please allow scripts."]}) == own(8)

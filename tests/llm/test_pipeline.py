@@ -113,6 +113,17 @@ def test_models_without_contrast():
     assert windows("Worthlessness! a") == ["worthles", "sness", "a"]
 
 
+def test_one_criterion_for_every_number_of_labels():
+    def learned(toxic, ordinary, having):
+        texts = [([f"toxi{i}xx", "common", *["badword"] * (i < having)], 1) for i in range(toxic)] + [([f"ordi{i}xx", "common"], 0) for i in range(ordinary)]
+        return X.contrast(texts)
+
+    for toxic, ordinary, having in ((59, 400, 9), (60, 400, 9), (61, 400, 9), (2000, 4000, 20)):
+        got = learned(toxic, ordinary, having)
+        assert "badword" in got and "common" not in got and "comm" not in got
+    assert "badword" not in learned(2000, 4000, 3)  # three texts are chance
+
+
 def test_distances_are_kept_within_bounds():
     rows = [(f"{w} plain words {i} and so on {i * 7}", y) for i in range(60) for w, y in (("wretched", 1), ("pleasant", 0))]
     m = fit(rows)

@@ -105,20 +105,33 @@ def distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     return out
 
 
-def contrast(texts: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Beginnings of windows whose share of toxic texts stands out from their share of ordinary ones, with the two-sample z: 8 or more, or 4 for those that ordinary texts never have while toxic texts are few."""
+def chance(a: int, b: int, n1: int, n0: int) -> float:
+    """How likely a or more of a + b texts, dealt at random over n1 toxic and n0 ordinary ones, are toxic (Fisher's exact test)."""
+    among = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    t, total = a + b, 0.0
+    for k in range(a, min(t, n1) + 1):
+        term = math.exp(among(n1, k) + among(n0, t - k) - among(n1 + n0, t))
+        total += term
+        if term < 1e-12 * total:
+            break
+    return total
+
+
+def contrast(texts: list[tuple[list[str], int]], false_share: float = 0.01) -> dict[str, float]:
+    """Beginnings of windows that stand out in toxic texts, with the negative logarithm of that being chance.
+
+    Of what is learned a share of false_share is expected to be chance
+    (Benjamini and Hochberg's step-up over all beginnings that two texts have).
+    The criterion is the same for every number of texts.
+    """
     n = Counter(y for _, y in texts)
     df = {0: Counter(), 1: Counter()}
     for w, y in texts:
         df[y].update({x[:k] for x in set(w) for k in STEMS if len(x) >= k})
-    out = {}
-    for stem, a in df[1].items():
-        b = df[0][stem]
-        p = (a + b) / (n[0] + n[1])
-        z = (a / n[1] - b / n[0]) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
-        if a >= max(3, n[1] // 100) and (z >= 8 or z >= 4 and not b and n[1] < 60):
-            out[stem] = z
-    return out
+    weighed = sum(df[1][x] + df[0][x] >= 2 for x in df[1].keys() | df[0].keys())
+    found = sorted((chance(a, df[0][x], n[1], n[0]), x) for x, a in df[1].items() if a >= 2 and a * n[0] > df[0][x] * n[1])
+    last = max((i for i, (p, _) in enumerate(found, 1) if p * weighed <= false_share * i), default=0)
+    return {x: -math.log(max(p, 1e-300)) for p, x in found[:last]}
 
 
 def fit(rows: list[tuple[str, int]], totals: tuple[int, int] = (0, 0), toxic_bytes: int = 1024, ordinary_bytes: int = 8192, most_samples: int = 100_000) -> Model:

@@ -1,7 +1,8 @@
 """Operator 5: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what sets toxic texts apart and
-one on ordinary text. A text's windows are compressed with both; the distance
+Two zstandard dictionaries are trained, one on beginnings of words that a test
+picks as setting toxic texts apart (so it is a lexicon, looked up by compression;
+README has the figures of whole windows), one on words of ordinary text. A text's windows are compressed with both; the distance
 of a window is how many bytes the toxic dictionary saves, over the window's
 length. Windows are words, longer ones cut every few letters, so that all of a
 text is in one. A window is flagged above a threshold calibrated on training texts, and

@@ -107,3 +107,15 @@ def test_fixed_text_goes_by_its_place_inside_articles_too():
     # an article with nothing but fixed text doesn't hide what varies beside it
     other = lambda n: f"<body><main><p>Please allow scripts.</p></main><div class=z>{own(n)}</div></body>"
     assert read(other(8), {"body/main/p": ["Please allow scripts."]}) == own(8)
+
+
+def test_copies_and_long_pages_hide_no_fixed_text(spark):
+    """Nine copies of a page don't fill the sample; a footer after more than ALIGNED tokens is learned; other pages' own text stays."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(30))
+    page = lambda n, many=1: f"<body><div class=k>Fixed host line.</div>{''.join(f'<p>{own(n * 5000 + i)}</p>' for i in range(many))}<div class=z>Last host line.</div></body>"
+    rows = [(i, "http://copies.example/1", page(1)) for i in range(40)] + [(100 + n, "http://copies.example/2", page(n)) for n in range(2, 6)]
+    rows += [(200 + n, "http://long.example/1", page(n, X.ALIGNED // 2)) for n in range(4)]
+    got = {g.page_id: g.text for g in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        assert got[i] == "\n".join(re.findall("<p>(.*?)</p>", h))

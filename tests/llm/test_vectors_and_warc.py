@@ -113,3 +113,10 @@ def test_captures_are_found_by_their_key_alone(spark, sf, tmp_path, monkeypatch)
     got = {r.page_id: r for r in W.look_up(keys, shards, 2, payload=True).collect()}
     assert {r.page_id: r.html.encode() for r in want} == {k: bytes(v.payload) for k, v in got.items()}
     assert W.surt("HTTP://www.Example.com:80/a?b#c") == "com,example,www):80/a?b".replace("):80", ":80)")
+
+
+def test_vectors_of_one_component(spark):
+    rows = [(1, "x", [1.0]), (2, "x", [2.0]), (3, "x", [2.0]), (4, "x", [-3.0]), (5, "x", [-1.0]), (6, "y", [5.0]), (7, "x", [0.0]), (8, None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8)}

@@ -186,6 +186,15 @@ def centroids(largest: int) -> int:
     return int(min(64, max(2, np.ceil(np.sqrt(largest / (2 * MEMBERS))))))
 
 
+def _linked_numbers(reps: DataFrame, least: float) -> DataFrame:
+    """(a, b, n) like _linked() for vectors of one component: their cosine is 1 or -1, so a label and a sign are one group."""
+    sign = F.signum(F.get("embedding", F.lit(0))) if least > -1 else F.lit(0.0)
+    mine = reps.select(F.xxhash64("label", sign).alias("group"), "node", "many")
+    groups = cut(mine.groupBy("group").agg(F.min("node").alias("b"), F.sum("many").alias("whole"), F.count("*").alias("rows")).where("rows > 1"))
+    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return join_hot(mine, groups, "group", "rows", total).select(F.col("node").alias("a"), "b", (F.col("whole") - F.col("many")).alias("n"))
+
+
 def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
@@ -208,8 +217,9 @@ def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_co
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k = k or centroids(largest)
     for r in reps.groupBy(F.size("embedding").alias("w")).count().collect():  # lengths of vectors, as a rule one
-        if r["w"] > 1 and r["count"] > 1:
-            one = _linked(reps.where(F.size("embedding") == r["w"]), r["w"], least, k)
+        if r["count"] > 1 and (r["w"] > 1 or least <= 1):
+            some = reps.where(F.size("embedding") == r["w"])
+            one = _linked(some, r["w"], least, k) if r["w"] > 1 else _linked_numbers(some, least)
             found = one if found is None else found.unionByName(one)
     names = reps.select("key", "node", "least", "many")
     if found is not None:

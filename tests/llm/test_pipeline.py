@@ -3,13 +3,15 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import ODD, WORD, base, filled, judged, line_key, reach, simhash
 
 import corpus_pipeline
 from trawl.llm import toxicity as X
 from trawl.llm.common import cut
-from trawl.llm.toxicity import Distances, fit, score, toxicity, training_rows, windows
+from trawl.llm.toxicity import Savings, fit, plain, probability, toxicity, training_rows
 
 BAD = ["idiotic", "scumbags", "wretched"]
 
@@ -94,41 +96,106 @@ def test_toxicity(spark, folder):
     for g in got:
         assert 0 <= g.score <= 1 and g.predicted == (g.score >= 0.3)
         assert g.held_out == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 4 == 2)
-        if g.doc_id is not None and 50_000 <= g.doc_id < 50_160:
-            assert g.predicted == (g.doc_id % 3 == (50_000 % 3)) or (g.doc_id - 50_000) % 3
     found = {g.doc_id: g.predicted for g in got}
     assert all(found[50_000 + i] == 1 for i in range(0, 160, 3))
     rows, totals = training_rows(docs, labels)
-    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0)) and sum(totals) == len(rows)
+    assert sum(totals) == len(rows)
+    held = {r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2} - {r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert not held & {t for t, _ in rows}
     few, _ = training_rows(docs, labels, most=(5, 3))
     assert Counter(y for _, y in few) == {0: 5, 1: 3}
+    short, _ = training_rows(docs, labels, most_chars=6000)
+    assert 0 < len(short) < len(rows) and all(sum(len(t) for t, y in short if y == v) <= 3000 for v in (0, 1))
     assert {g.score for g in toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity(odd.limit(0), labels).count() == 0
 
 
+def test_scores_are_the_method_over_whole_texts(spark, folder):
+    """Brute force: each window is compressed with both dictionaries by zstandard itself, text by text."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    m = fit(*training_rows(docs, labels))
+    behind = X.CARRIER + m.ordinary + X.CARRIER
+
+    def size(content, window):
+        how = zstandard.ZstdCompressionParameters.from_level(m.level, source_size=128, dict_size=len(content), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(window))
+
+    s, known = Savings(m), {bytes(behind[i : i + 6]) for i in range(len(behind) - 5)}
+    new = {m.toxic[i : i + 6] for i in range(len(m.toxic) - 5)} - known
+    for r in docs.orderBy("doc_id").tail(12) + docs.orderBy("doc_id").head(4):
+        words, want = plain(r.text).split(), []
+        for at in range(0, max(1, len(words) - X.WORDS + X.STEP), X.STEP) if words else ():
+            w = b" " + b" ".join(words[at : at + X.WORDS]) + b" "
+            shared = any(w[i : i + 6] in new for i in range(len(w) - 5))
+            want.append(size(behind, X.CARRIER + w) - size(m.toxic + behind, X.CARRIER + w) if shared else 0)
+        assert s.of(plain(r.text)).tolist() == want
+    got = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    assert all(got[r.doc_id] == probability(m, s.of(plain(r.text))) for r in docs.collect())
+
+
+def test_held_out_recall_and_precision(spark):
+    """Measured on sf0.1: 0.80 and 0.73 of 120 toxic among 990 held-out texts."""
+    import os
+
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        pytest.skip("needs the larger tables")
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    got = toxicity(docs.join(labels.select("doc_id"), "doc_id"), labels).where("held_out").join(labels, "doc_id").collect()
+    hit = sum(r.toxic and r.predicted for r in got)
+    assert hit >= 0.75 * sum(r.toxic for r in got) and hit >= 0.7 * sum(r.predicted for r in got)
+
+
 def test_models_without_contrast():
-    assert fit([]).shares == (0.0,) and fit([("a b", 1)]).shares == (1.0,)
+    assert fit([]).prior == 0.0 and fit([("a b", 1)]).prior == 1.0
     same = fit([("one two three", 0), ("one two three four", 1)])
-    assert len(same.shares) == 1 and 0 < same.shares[0] < 1
-    assert windows("Worthlessness! a") == ["worthles", "sness", "a"]
+    assert 0 < probability(same, Savings(same).of(plain("one two"))) < 1
+    assert plain("Worthless, ! a") == b" worthless a " and not len(Savings(same).of(plain("")))
 
 
 def test_one_criterion_for_every_number_of_labels():
     def learned(toxic, ordinary, having):
-        texts = [([f"toxi{i}xx", "common", *["badword"] * (i < having)], 1) for i in range(toxic)] + [([f"ordi{i}xx", "common"], 0) for i in range(ordinary)]
-        return X.contrast(texts)
+        texts = [(plain(f"toxi{i}xx common{' badword' * (i < having)}"), 1) for i in range(toxic)] + [(plain(f"ordi{i}xx common"), 0) for i in range(ordinary)]
+        return X.apart(texts, 0.01)
 
-    for toxic, ordinary, having in ((59, 400, 9), (60, 400, 9), (61, 400, 9), (2000, 4000, 20)):
+    word, both = X.runs(b"badword"), X.runs(b" common")
+    for toxic, ordinary, having in ((59, 400, 9), (60, 400, 9), (61, 400, 9), (2000, 4000, 40)):
         got = learned(toxic, ordinary, having)
-        assert "badword" in got and "common" not in got and "comm" not in got
-    assert "badword" not in learned(2000, 4000, 3)  # three texts are chance
-
-
-def test_distances_are_kept_within_bounds():
-    rows = [(f"{w} plain words {i} and so on {i * 7}", y) for i in range(60) for w, y in (("wretched", 1), ("pleasant", 0))]
-    m = fit(rows)
-    assert m.toxic and m.threshold < 1
-    d = Distances(m, most=3)
-    first = d.of(windows("wretched pleasant other words here"))
-    assert first == d.of(windows("wretched pleasant other words here")) and first[0] >= m.threshold > first[1]
-    assert X.WIDTH == 8 and callable(score)
+        assert X.among(word, got).all() and not X.among(both, got).any()
+    assert not X.among(word, learned(2000, 4000, 3)).any()  # three texts are chance
+
+
+def test_stretches_and_windows():
+    text = plain("one two badword three four five six seven eight nine ten")
+    assert X.stretches(text, np.sort(X.runs(b"badword"))) == {b"badword"}
+    first, last = X.edges(text)
+    assert [text[a:b] for a, b in zip(first, last)] == [b" one two badword three four five ", b" three four five six seven eight ", b" six seven eight nine ten "]
+    assert len(X.edges(plain("one"))[0]) == 1 and X.edges(plain(""))[0].tolist() == []
+
+
+def odd_table(spark):
+    """Nulls, empties, repeats, a long text and columns whose names operators use themselves."""
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (None, "word " * 30, None, "a", 1), (3, "w" * 300_000 + " one two", "en", "a", 2), (4, " ".join(f"x{i}" for i in range(40)), "en", "b", 3)]
+    names = ["_row", "_score", "score", "_gone", "id", "_id", "_text", "removed", "kept", "_times", "_hash", "host", "n"]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, c in enumerate(names):
+        df = df.withColumn(c, F.lit(k))
+    return df
+
+
+def test_stages_on_odd_tables(spark, folder):
+    docs = odd_table(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        got = cut(stage(spark, docs, folder))
+        ids = Counter(r.doc_id for r in got.collect())
+        if name == "best_fit_packing":
+            assert ids.keys() == {1, 2, 3, 4, None}
+        else:
+            assert got.columns == docs.columns
+            kept = {"quality_rules": {4: 2}, "toxicity": {1: 2, 2: 2, 3: 2, 4: 2, None: 2}, "simhash_near_dedup": {1: 2, 3: 2, 4: 2, None: 2}}.get(name)
+            assert kept is None or ids == kept
+            assert all(r.asDict()[c] == k for r in got.collect() for k, c in enumerate(docs.columns[5:]))
+        assert cut(stage(spark, docs.limit(0), folder)).count() == 0

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most_rows: int = 1000) -> None:
+    """Lowers how many rows an Arrow batch has, since rows of a corpus are whole texts. Registered queries and stages call it; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most_rows:
+        spark.conf.set(key, str(most_rows))
+
+
 #: Folders of sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one of this driver only where that is unset, as in tests on one machine."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a temporary one; a cluster has no such folder and must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         where = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="trawl-"))
     return where.rstrip("/")
@@ -43,6 +57,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batch: pa.RecordBatch, texts: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch and the texts of its rows in slices of about most_bytes of text, so that only a slice at a time becomes Python objects. A null text is empty; a text that is longer than that has a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        begun = int(ends[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(ends, begun + most_bytes, side="right"))), at + most_rows)
+        yield batch.slice(at, end - at), [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
+def text_field(rows: pa.StructArray, name: str) -> pa.Array:
+    """A column of rows that came as structs, as text."""
+    found = pc.struct_field(rows, [rows.type.get_field_index(name)])
+    return found if pa.types.is_string(found.type) else found.cast(pa.string())
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,239 +1,314 @@
 """Operator 5: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on beginnings of words that a test
-picks as setting toxic texts apart (so it is a lexicon, looked up by compression;
-README has the figures of whole windows), one on words of ordinary text. A text's windows are compressed with both; the distance
-of a window is how many bytes the toxic dictionary saves, over the window's
-length. Windows are words, longer ones cut every few letters, so that all of a
-text is in one. A window is flagged above a threshold calibrated on training texts, and
-the share of toxic texts among training texts with as many flagged windows is
-the score. Each window
-follows a fixed run of bytes that both dictionaries hold, because zstandard
-stores inputs as they are unless it saves some bytes at least.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic
+text. Windows of several words that overlap are compressed with the ordinary
+dictionary alone and with both; how many bytes the toxic one saves is a window's
+distance. Savings above a calibrated threshold, summed and taken by window, make
+a text's score.
+
+Toxic texts are mostly ordinary words, so a dictionary of their whole windows
+learns ordinary words again and the distance is noise. The toxic dictionary is
+therefore trained on the stretches of toxic windows that ordinary training text
+doesn't account for: those covered by runs of bytes that set toxic texts apart
+(a likelihood-ratio test with a bounded share of false discoveries). The
+ordinary dictionary stands behind the toxic one in both compressions, and
+zstandard parses with its optimal parser, so that what is ordinary costs the
+same in both. Thresholds and weights are calibrated on texts whose half of the
+training rows took no part in the dictionaries that they are compressed with.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trawl.llm.common import parts, text_field
+
+#: Goes before each window and is in both dictionaries, because zstandard stores inputs as they are unless it saves some bytes at least.
 CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
-#: Letters of a window at most.
-WIDTH = 8
-WINDOW = re.compile(rf"\w{{1,{WIDTH}}}")
-#: Beginnings of windows that training weighs, in letters.
-STEMS = range(4, WIDTH + 1)
+#: Words of a window, words from one window's start to the next one's, and bytes of a run.
+WORDS, STEP, RUN = 6, 3, 6
+#: Bytes of the dictionaries, and segments that the trainer picks.
+ORDINARY, TOXIC, SEGMENT = 1 << 16, 1 << 14, 32
+#: Windows that the ordinary dictionary is trained on, and texts of each half that calibrate, at most.
+SAMPLES, CALIBRATE = 60_000, 1000
+WORD = re.compile(r"\w+")
+
+
+def plain(text: str) -> bytes:
+    """The words of a text in lower case, a blank around each."""
+    return f" {' '.join(WORD.findall(text.lower()))} ".encode("utf-8", "surrogatepass")
+
+
+def runs(text: bytes) -> np.ndarray:
+    """Each RUN bytes in a row of a text, as a number."""
+    raw = np.frombuffer(text, np.uint8)
+    n = len(raw) - RUN + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(RUN if n > 0 else 0):
+        out = (out << np.uint64(8)) | raw[k : k + n]
+    return out
 
 
-def windows(text: str) -> list[str]:
-    return WINDOW.findall(text.lower())
+def edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows begin and end, blanks included; every word is in one."""
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    n = len(blanks) - 1
+    if len(text) <= 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.arange(0, max(1, n - WORDS + STEP), STEP)
+    return blanks[first], blanks[np.minimum(first + WORDS, n)] + 1
 
 
-def framed(window: str) -> bytes:
-    return CARRIER + b" " + window.encode("utf-8", "surrogatepass")
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
 
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs. shares: score by number of flagged windows, the last for that many or more."""
+    """What scoring needs: the dictionaries' contents, the savings that a window must pass, and the weights of features(), the constant first."""
 
-    toxic: bytes = b""
     ordinary: bytes = b""
-    threshold: float = math.inf
-    shares: tuple[float, ...] = (0.0,)
-    level: int = 9
-
+    toxic: bytes = b""
+    threshold: float = 0.0
+    weights: tuple[float, ...] = ()
+    prior: float = 0.0
+    level: int = 19
 
-@dataclass
-class Distances:
-    """Distances of windows; two generations of known ones bound the memory."""
 
-    model: Model
-    most: int = 300_000
-    young: dict[str, float] = field(default_factory=dict)
-    old: dict[str, float] = field(default_factory=dict)
+class Savings:
+    """Bytes that the toxic dictionary saves in each window of a text."""
 
-    def __post_init__(self) -> None:
+    def __init__(self, model: Model):
         import zstandard
 
         def compressor(content: bytes):
-            d = zstandard.ZstdCompressionDict(content)
-            d.precompute_compress(level=self.model.level)
-            return zstandard.ZstdCompressor(level=self.model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-        self.by = compressor(self.model.toxic), compressor(self.model.ordinary)
-
-    def of(self, found: list[str]) -> list[float]:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        toxic, ordinary = self.by
-        for w in set(found):
-            if w in young:
-                continue
-            if (x := old.get(w)) is None:
-                b = framed(w)
-                # what is too short to have been weighed says nothing
-                x = (len(ordinary(b)) - len(toxic(b))) / max(WIDTH, len(b) - len(CARRIER)) if len(w) >= STEMS[0] else -1.0
-            young[w] = x
-        return [young[w] for w in found]
-
-
-@lru_cache(2)
-def distances(model: Model) -> Distances:
-    return Distances(model)
-
-
-def distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
-    """Texts as windows, without near copies: one for each least hash of five windows in a row, so that a group of copies doesn't look like a habit of a class."""
-    seen, out, same = set(), [], {}
+            how = zstandard.ZstdCompressionParameters.from_level(model.level, source_size=128, dict_size=len(content), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
+
+        behind = CARRIER + model.ordinary + CARRIER
+        self.alone, self.both = compressor(behind), compressor(model.toxic + behind)
+        #: Runs of the toxic dictionary that the ordinary one lacks. A window without any can't be saved bytes worth counting, so it isn't compressed.
+        self.own = np.setdiff1d(runs(model.toxic), runs(behind))
+
+    def of(self, text: bytes) -> np.ndarray:
+        first, last = edges(text)
+        out = np.zeros(len(first))
+        hits = np.flatnonzero(among(runs(text), self.own))
+        if len(hits):
+            for k in np.flatnonzero(np.searchsorted(hits, last - RUN + 1) > np.searchsorted(hits, first)):
+                window = CARRIER + text[first[k] : last[k]]
+                out[k] = len(self.alone(window)) - len(self.both(window))
+        return out
+
+
+@lru_cache(1)
+def savings(model: Model) -> Savings:
+    return Savings(model)
+
+
+def features(saved: np.ndarray, threshold: float) -> list[float]:
+    """Of savings above the threshold: their mean over all windows, and the mean of the three largest, as roots."""
+    over = np.maximum(saved - threshold, 0)
+    top = np.sort(over)[-3:].sum() / 3
+    return [math.sqrt(over.mean()) if len(over) else 0.0, math.sqrt(top)]
+
+
+def probability(model: Model, saved: np.ndarray) -> float:
+    if not model.weights:
+        return model.prior
+    z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], features(saved, model.threshold), strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
+    """Texts as plain() has them, without near copies: one for each least hash of five words in a row, so that a group of copies doesn't look like a habit of a class."""
+    seen, out = set(), []
     for text, label in rows:
-        w = [same.setdefault(x, x) for x in windows(text)]
-        key = (min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), default=0), label)
-        if key not in seen:
+        b = plain(text)
+        w = b.split()
+        key = (min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0), label)
+        if w and key not in seen:
             seen.add(key)
-            out.append((w, label))
+            out.append((b, label))
     return out
 
 
 def chance(a: int, b: int, n1: int, n0: int) -> float:
-    """How likely a or more of a + b texts, dealt at random over n1 toxic and n0 ordinary ones, are toxic (Fisher's exact test)."""
-    among = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    t, total = a + b, 0.0
-    for k in range(a, min(t, n1) + 1):
-        term = math.exp(among(n1, k) + among(n0, t - k) - among(n1 + n0, t))
-        total += term
-        if term < 1e-12 * total:
-            break
-    return total
-
+    """How likely it is by chance that a of n1 toxic and b of n0 ordinary texts have a run, or more toxic ones (likelihood-ratio test, one-sided)."""
+    if a * n0 <= b * n1:
+        return 1.0
+    share = (a + b) / (n1 + n0)
+    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+    g = part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share))
+    return 0.5 * math.erfc(math.sqrt(max(g, 0.0)))
 
-def contrast(texts: list[tuple[list[str], int]], false_share: float = 0.01) -> dict[str, float]:
-    """Beginnings of windows that stand out in toxic texts, with the negative logarithm of that being chance.
 
-    Of what is learned a share of false_share is expected to be chance
-    (Benjamini and Hochberg's step-up over all beginnings that two texts have).
-    The criterion is the same for every number of texts.
-    """
+def apart(texts: list[tuple[bytes, int]], false_share: float = 0.01) -> np.ndarray:
+    """Runs that set toxic texts apart. Of these a share of false_share is expected to be chance (Benjamini and Hochberg's step-up over all runs of toxic texts), whatever the number of texts."""
     n = Counter(y for _, y in texts)
-    df = {0: Counter(), 1: Counter()}
-    for w, y in texts:
-        df[y].update({x[:k] for x in set(w) for k in STEMS if len(x) >= k})
-    weighed = sum(df[1][x] + df[0][x] >= 2 for x in df[1].keys() | df[0].keys())
-    found = sorted((chance(a, df[0][x], n[1], n[0]), x) for x, a in df[1].items() if a >= 2 and a * n[0] > df[0][x] * n[1])
-    last = max((i for i, (p, _) in enumerate(found, 1) if p * weighed <= false_share * i), default=0)
-    return {x: -math.log(max(p, 1e-300)) for p, x in found[:last]}
+    held = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(runs(b)) for b, y in texts if y == v)]), return_counts=True) for v in (0, 1)]
+    known, toxic = held[1]
+    at = np.minimum(np.searchsorted(held[0][0], known), max(0, len(held[0][0]) - 1))
+    ordinary = np.where(held[0][0][at] == known, held[0][1][at], 0) if len(held[0][0]) else np.zeros(len(known), np.int64)
+    pairs, which = np.unique(np.stack([toxic, ordinary]), axis=1, return_inverse=True)
+    p = np.array([chance(int(a), int(b), n[1], n[0]) if a >= 2 else 1.0 for a, b in pairs.T])[which.reshape(-1)] if len(known) else np.zeros(0)
+    steps = np.sort(p)
+    ok = np.flatnonzero(steps * len(p) <= false_share * np.arange(1, len(p) + 1))
+    return known[p <= steps[ok[-1]]] if len(ok) and steps[ok[-1]] < 1 else known[:0]
+
+
+def stretches(text: bytes, special: np.ndarray) -> set[bytes]:
+    """The stretches of a text that special runs cover."""
+    hit = np.flatnonzero(among(runs(text), special))
+    level = np.zeros(len(text) + 1, np.int32)
+    np.add.at(level, hit, 1)
+    np.add.at(level, hit + RUN, -1)
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(level) > 0).astype(np.int8), [0]])))
+    return {text[a:b] for a, b in zip(turn[::2], turn[1::2], strict=True)}
+
+
+def trained(size: int, samples: list[bytes], **how) -> bytes:
+    """A dictionary's content. The trainer refuses few or short samples; those are a dictionary as they are, the most frequent last, where they cost least."""
+    import zstandard
 
+    if not samples:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples * (1 + 20_000 // len(samples)), **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
+
+
+def dictionaries(texts: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) contents from labelled texts. Each toxic text gives a stretch once, so that long texts don't outweigh others."""
+    special = apart(texts)
+    toxic = [x for b, y in texts if y for x in sorted(stretches(b, special))]
+    every = [(b, *w) for b, y in texts if not y for w in zip(*edges(b), strict=True)]
+    few = random.Random(1).sample(every, min(len(every), SAMPLES))
+    return trained(ORDINARY, [b[s:e] for b, s, e in few]), trained(TOXIC, toxic, k=SEGMENT, d=6)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights (the constant first, others not below 0) of a logistic regression by Newton's method, and its loss."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, free = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
+    penalty = np.r_[0.0, np.full(x.shape[1] - 1, ridge)]
+    for _ in range(x.shape[1]):
+        w[:] = 0
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            slope = x.T @ (weight * (p - y)) + penalty * w
+            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+            move = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+            w[free] -= np.clip(move, -4, 4)
+            if np.abs(move).max() < 1e-6:
+                break
+        below = (w < 0) & free & (np.arange(len(w)) > 0)
+        if not below.any():
+            break
+        free &= ~below
+    z = np.clip(x @ w, -50, 50)
+    return w, float((weight * (np.logaddexp(0, z) - y * z)).sum())
 
-def fit(rows: list[tuple[str, int]], totals: tuple[int, int] = (0, 0), toxic_bytes: int = 1024, ordinary_bytes: int = 8192, most_samples: int = 100_000) -> Model:
+
+def fit(rows: list[tuple[str, int]], totals: tuple[int, int] = (0, 0)) -> Model:
     """A model from labelled texts (text, 0 or 1).
 
-    The toxic samples are beginnings of windows that set toxic texts apart, as
-    often as they occur there; the ordinary samples are the windows of ordinary
-    texts. totals: how many texts each label has, if rows are a sample by label.
-    With one class, or none, the score is that class's share for every text.
+    totals: how many texts each label has, if rows are a sample by label. With
+    one class, or none, the score is that class's share for every text.
     """
-    import zstandard
-
     texts = distinct_rows(sorted(rows))
     n = Counter(y for _, y in texts)
     if not n[1] or not n[0]:
-        return Model(shares=(float(n[1] > 0),))
-    apart = contrast(texts)
-
-    def stem(w: str) -> str:
-        return max((w[:k] for k in STEMS if w[:k] in apart), key=apart.get, default="")
-
-    toxic = [framed(x) for w, y in texts if y for x in map(stem, w) if x]
-    every = -(-sum(len(w) for w, y in texts if not y) // most_samples)
-    plain = [framed(x) for x in islice((x for w, y in texts if not y for x in w), 0, None, max(1, every))]
+        return Model(prior=float(n[1] > 0))
     # each class weighs as in all labels, not as in the sample
-    weigh = [t / sum(totals) * (n[0] + n[1]) / n[y] if min(totals) > 0 else 1.0 for y, t in enumerate(totals)]
+    weigh = [t / sum(totals) * len(texts) / n[y] if min(totals) > 0 else 1.0 for y, t in enumerate(totals)]
     prior = n[1] * weigh[1] / (n[0] * weigh[0] + n[1] * weigh[1])
-    if not toxic or not plain:
-        return Model(shares=(prior,))
-    toxic *= 1 + 20_000 // len(toxic)
-    try:
-        made = [zstandard.train_dictionary(k, x).as_bytes() for k, x in ((toxic_bytes, toxic), (ordinary_bytes, plain * (1 + 20_000 // len(plain))))]
-    except zstandard.ZstdError:  # too few different samples for the trainer
-        return Model(shares=(prior,))
-    model = Model(*made)
-    far = Distances(model)
-    scored = [(far.of(w), y) for w, y in texts]
-    # the threshold on a text's largest distance that tells the classes best, by F1; ties go to the larger
-    best, threshold, below, hits = -1.0, math.inf, math.inf, 0
-    tops = sorted(((max(d, default=-1.0), y) for d, y in scored), reverse=True)
-    for i, (x, y) in enumerate(tops):
-        hits += y
-        if (i + 1 == len(tops) or tops[i + 1][0] < x) and 2 * hits / (i + 1 + n[1]) > best:
-            best, threshold = 2 * hits / (i + 1 + n[1]), x
-            below = tops[i + 1][0] if i + 1 < len(tops) else x
-    threshold = (threshold + below) / 2
-    counts = {0: Counter(), 1: Counter()}
-    for d, y in scored:
-        counts[y][min(4, sum(x >= threshold for x in d))] += 1
-    shares: list[float] = []
-    for k in range(5):
-        a, b = counts[1][k] * weigh[1], counts[0][k] * weigh[0]
-        share = (a + prior) / (a + b + 1)
-        shares.append(max(share, shares[-1]) if shares else share)
-    return Model(*made, threshold, tuple(shares))
+    by_class = [[t for t in texts if t[1] == y] for y in (0, 1)]
+    halves = [[t for c in by_class for t in c[h::2]] for h in (0, 1)]
+    saved: list[tuple[np.ndarray, int]] = []
+    for mine, other in (halves, halves[::-1]):
+        far = Savings(Model(*dictionaries(mine)))
+        saved += [(far.of(b), y) for b, y in other[:: max(1, -(-len(other) // CALIBRATE))]]
+    y = np.array([y for _, y in saved], float)
+    weight = np.where(y > 0, weigh[1], weigh[0])
+    found = []
+    for threshold in (0.0, 1.0, 2.0, 3.0):
+        w, loss = logistic(np.array([features(s, threshold) for s, _ in saved]), y, weight)
+        found.append((loss, threshold, tuple(w.tolist())))
+    _, threshold, weights = min(found)
+    return Model(*dictionaries(texts), threshold, weights, prior)
 
 
 def held_out(id_col: Column, fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
 
-def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = (4000, 2000)) -> tuple[list[tuple[str, int]], tuple[int, int]]:
-    """Labelled texts outside the held-out fold: at most most[label] of a label, those with the least hash of their id. That bound is what reaches the driver, with the numbers of all such labels."""
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = (4000, 2000), most_chars: int = 24_000_000) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+    """Labelled texts outside the held-out fold: at most most[label] of a label, those with the least hash of their id, as long as they have at most most_chars characters together. Those bounds are what reaches the driver, with the numbers of all such labels."""
     mine = labels.select(F.col("doc_id").alias("_l"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_l").isNotNull() & ~held_out(F.col("_l")))
     picked = [mine.where(F.col("_y") == y).orderBy(F.xxhash64("_l"), "_l").limit(k) for y, k in enumerate(most)]
     few = picked[0].unionByName(picked[1])
-    got = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(few), F.col("_i") == F.col("_l"))
+    texts = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    got = texts.join(F.broadcast(few), F.col("_i") == F.col("_l"))
+    # at most sum(most) rows, dealt by their hash: whole texts until the bound
+    upto = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_l"), "_l").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = got.withColumn("_upto", upto).where(F.col("_upto") <= most_chars // 2)
     n = mine.agg(F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1")).first()
     return [(r["_t"], r["_y"]) for r in got.select("_t", "_y").collect()], (n["n0"], n["n1"])
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
-    """Adds _score (0 to 1), _flagged (how many windows are) and _predicted to a table; other columns stay. One pass, no shuffle."""
-    names = df.columns
+def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Each row of a table as a struct _row, with its score (0 to 1) and flagged, how many windows pass the threshold, beside it. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, many = [], []
-            for t in b.column(len(names)).to_pylist():
-                n = 0
-                if model.toxic and t:
-                    d = distances(model).of(windows(t))
-                    n = sum(x >= model.threshold for x in d)
-                many.append(n)
-                out.append(model.shares[min(n, len(model.shares) - 1)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64()), pa.array(many, pa.int64())], [*names, "_score", "_flagged"])
+        for whole in batches:
+            for b, texts in parts(whole, text_field(whole.column(0), text_col)):
+                out, many = [], []
+                for t in texts:
+                    s = savings(model).of(plain(t)) if model.weights else np.zeros(0)
+                    out.append(probability(model, s))
+                    many.append(int((s > model.threshold).sum()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(many, pa.int64())], ["_row", "score", "flagged"])
 
-    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("_row", df.schema, False), T.StructField("score", T.DoubleType()), T.StructField("flagged", T.LongType())])
+    return df.select(F.struct("*").alias("_row")).mapInArrow(run, schema)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_flagged", T.LongType())])
-    rows = df.withColumn("_scored_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
-    return rows.withColumn("_predicted", (F.col("_score") >= cut_at).cast("int"))
 
-
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, flagged of each row.
 
-    Only the text makes a score. Null and empty texts have no flagged window
-    and score like other texts without any. A null id is not held out. Without
-    labels every score is 0.
+    Only the text makes a score. Null and empty texts have no window and score
+    like other texts without savings. A null id is not held out; rows that
+    repeat are scored alike; an empty table gives none. Without labels every
+    score is 0. Other columns are not read.
     """
     model = fit(*training_rows(df, labels, id_col, text_col))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return score(rows, model, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), F.col("_flagged").alias("flagged"))
+    rows = scored(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), model)
+    who = F.col("_row.doc_id")
+    return rows.select(who.alias("doc_id"), held_out(who).alias("held_out"), "score", (F.col("score") >= cut_at).cast("int").alias("predicted"), "flagged")
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
+    """The rows of a table that toxicity() doesn't predict to be toxic; its columns stay, whatever their names."""
+    return scored(df, fit(*training_rows(df, labels, id_col, text_col)), text_col).where(F.col("score") < cut_at).select("_row.*")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from trawl.llm import extraction as X
@@ -51,6 +52,17 @@ def test_read_one_page():
     assert read("<main><h1>T</h1><article class=comment>no</article><aside><article>no</article></aside><p>yes</main>", {}) == "T\nyes"
 
 
+def test_hostile_pages_take_linear_time():
+    big = 1 << 20
+    cases = ['<a "', "<a '", "<", "</p>", "<div>", "<!", "<p a=", "<script", "</script ", "<div><p>x", '<a b="c', "<b " + " " * 50, "<!-- ", "<x><y>text</z>"]
+    for c in cases:
+        for page in (c * (big // len(c)), c * (big // len(c)) + ">end"):
+            began = time.process_time()
+            read(page, {})
+            assert time.process_time() - began < 20, c
+    assert read('<p class="a>b">one</p><p>two <i x="y>z</i></p><p>three</p>', {}) == "one\ntwo z\nthree"
+
+
 def test_alignment_finds_slots_repeats_and_options():
     page = lambda n, extra="": f"<body><div>Fixed</div><ul>{''.join(f'<li>i{k}{n}</li>' for k in range(n))}</ul>{extra}<p>text {n}</p></body>"
     streams = [stream(page(2)), stream(page(4)), stream(page(3, "<div class=x>opt</div>"))]

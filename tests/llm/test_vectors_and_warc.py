@@ -66,6 +66,33 @@ def test_near_vectors_of_the_table(spark, sf):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_double_precision(spark):
+    """Components beyond single precision, and vectors that only differ below it."""
+    rows = [(1, [1e39, 0.0], 0), (2, [1e39, 1e37], 0), (3, [1.0, 0.0], 0), (4, [1.0, 1e-12], 0), (5, [0.0, 1e-300], 0), (6, [0.0, 1.0], 0), (7, [1e308, 1e308], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_index_prunes():
+    """For a large label more cells are chosen than for a small one, and near vectors still meet."""
+    g = np.random.default_rng(2)
+    centres = g.normal(size=(200, 64))
+    x = E.unit(np.repeat(centres, 10, axis=0) + 0.01 * g.normal(size=(2000, 64)))
+    few, many = E.chosen(x, 0.04, 1000), E.chosen(x, 0.04, 10_000_000)
+    assert few < many
+    books = E.codebook(x[:, :32], many), E.codebook(x[:, 32:], many)
+    row, cell, own = E.visits(x, books, 0.04)
+    kept = E.halved(row, cell, own)
+    home = np.empty(len(x), int)
+    home[row[own]] = cell[own]
+    load = np.bincount(home, minlength=many * many)
+    assert load[cell[kept]].sum() < 0.2 * len(x) ** 2
+    seen = set(zip(row[kept].tolist(), cell[kept].tolist(), strict=True))
+    near = np.argwhere(x @ x.T >= 0.98)
+    assert len(near) > 10_000 and all((i, home[j]) in seen or (j, home[i]) in seen for i, j in near.tolist())
+
+
 def test_cells_within_the_bound_hold_all_neighbours():
     g = np.random.default_rng(1)
     x = E.unit(g.normal(size=(400, 8)))

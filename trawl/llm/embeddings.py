@@ -12,6 +12,7 @@ one. Large cells are cut into blocks of members and of visitors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from trawl.llm.common import components, cut, join_hot
 
 #: Vectors that the codebooks are fitted on, at most; members and visitors of a block.
 SAMPLE, MEMBERS, VISITORS = 8192, 2048, 8192
+#: Comparisons that take as long as sending a vector to a cell, about.
+SHIP = 300
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -84,8 +87,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def block_links(x: np.ndarray, node: np.ndarray, many: np.ndarray, member: np.ndarray, visitor: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a block: how many vectors it links with as a visitor, and the least row that links reach in the block."""
+def block_links(x: np.ndarray, node: np.ndarray, many: np.ndarray, member: np.ndarray, visitor: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block: how many links are counted for it here, and the least row that links reach in the block.
+
+    Two vectors of one cell visit each other, so a visitor at home counts for
+    itself; of two cells only the vectors of one visit the other, so those links
+    count on both sides.
+    """
     m, v = np.flatnonzero(member), np.flatnonzero(visitor)
     n, label = np.zeros(len(x), np.int64), np.arange(len(x))
     while True:
@@ -97,32 +105,56 @@ def block_links(x: np.ndarray, node: np.ndarray, many: np.ndarray, member: np.nd
             if not near.any():
                 continue
             if (was == np.arange(len(x))).all():
-                n[q] = near @ many[m]
+                n[q] += near @ many[m]
+                n[m] += (many[q] * ~own[q]) @ near
             label[q] = np.minimum(label[q], np.where(near, label[m], len(x)).min(axis=1))
             label[m] = np.minimum(label[m], np.where(near, label[q][:, None], len(x)).min(axis=0))
         label = label[label]
         if (label == was).all():
-            return n, label, m
+            return n, label
+
+
+def halved(row: np.ndarray, cell: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which visits to keep: those at home and those to cells of higher number. The bound works both ways, so of two near vectors in different cells the one in the lower cell visits the other."""
+    home = np.zeros(int(row.max(initial=-1)) + 1, cell.dtype)
+    home[row[own]] = cell[own]
+    return cell >= home[row]
+
 
+def chosen(x: np.ndarray, radius2: float, largest: int) -> int:
+    """Centroids of a half that cost least for a label of `largest` vectors: by the visits of a sample and the vectors that it meets in the cells it visits. A visit costs as much as SHIP comparisons."""
+    best, h = (math.inf, 2), x.shape[1] // 2
+    for k in (2, 4, 8, 16, 32, 64):
+        books = codebook(x[:, :h], k), codebook(x[:, h:], k)
+        load = np.zeros(len(books[0]) * len(books[1]))
+        np.add.at(load, bounds(x[:, :h], books[0])[0] * len(books[1]) + bounds(x[:, h:], books[1])[0], 1 / len(x))
+        some = x[:: -(-len(x) // 1024)]
+        row, cell, own = visits(some, books, radius2)
+        kept = cell[halved(row, cell, own)]
+        best = min(best, (len(kept) / len(some) * SHIP + load[kept].sum() / len(some) * largest, k))
+    return best[1]
 
-def _linked(reps: DataFrame, width: int, least: float, k: int) -> DataFrame:
+
+def _linked(reps: DataFrame, width: int, least: float, k: int | None, largest: int) -> DataFrame:
     """(a, b, n): a's links found in a block, and a row of the block that it hangs together with."""
     sample = reps.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").collect()
     x = unit(np.array([r["embedding"] for r in sample], np.float64))
     h = width // 2
-    books = (codebook(x[:, :h], k), codebook(x[:, h:], k))
     radius2 = 2 - 2 * least
+    k = k or chosen(x, radius2, largest)
+    books = (codebook(x[:, :h], k), codebook(x[:, h:], k))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 row, cell, own = visits(unit(matrix(b.column(3), width)), books, radius2)
+                row, cell, own = (c[halved(row, cell, own)] for c in (row, cell, own))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cell), pa.array(own), *(b.column(c).take(take) for c in (1, 2, 3))], ["label", "cell", "own", "node", "many", "embedding"])
 
-    label = reps.schema["label"].dataType.simpleString()
-    out = reps.select("label", "node", "many", "embedding").mapInArrow(visit, f"label {label}, cell long, own boolean, node long, many long, embedding array<float>")
+    label, kind = (reps.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    out = reps.select("label", "node", "many", "embedding").mapInArrow(visit, f"label {label}, cell long, own boolean, node long, many long, embedding {kind}")
     out = out.select(F.xxhash64("label", "cell").alias("key"), "own", "node", "many", "embedding")
     out = cut(out)
     load = out.groupBy("key").agg(F.count_if("own").alias("m"), F.count("*").alias("v")).where(f"m > {MEMBERS} or v > {VISITORS}")
@@ -133,8 +165,8 @@ def _linked(reps: DataFrame, width: int, least: float, k: int) -> DataFrame:
     mine, my = F.pmod(F.xxhash64("node"), nb).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), nq).cast("int")
     as_visitor = F.transform(F.sequence(F.lit(0), nb - 1), lambda b: F.struct(b.alias("b"), my.alias("q"), (F.col("own") & (b == mine)).alias("member"), F.lit(True).alias("visitor")))
     as_member = F.transform(F.filter(F.sequence(F.lit(0), nq - 1), lambda q: F.col("own") & (q != my)), lambda q: F.struct(mine.alias("b"), q.alias("q"), F.lit(True).alias("member"), F.lit(False).alias("visitor")))
-    out = out.select("key", "node", "many", "embedding", F.explode(F.concat(as_visitor, as_member)).alias("p"))
-    out = out.select(F.xxhash64("key", "p.b", "p.q").alias("run"), "node", "many", "embedding", "p.member", "p.visitor")
+    out = out.select("key", "node", "many", "embedding", "own", F.explode(F.concat(as_visitor, as_member)).alias("p"))
+    out = out.select(F.xxhash64("key", "p.b", "p.q").alias("run"), "node", "many", "embedding", "p.member", "p.visitor", "own")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -142,12 +174,12 @@ def _linked(reps: DataFrame, width: int, least: float, k: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
             node, many = t.column(1).to_numpy(), t.column(2).to_numpy()
             x = unit(np.concatenate([matrix(c, width) for c in t.column(3).chunks]))
-            member, visitor = t.column(4).to_numpy(), t.column(5).to_numpy()
+            member, visitor, own = (t.column(c).to_numpy() for c in (4, 5, 6))
             parts: list[tuple[np.ndarray, ...]] = []
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e - s > 1:
                     w = slice(s, e)
-                    n, label, _ = block_links(x[w], node[w], many[w], member[w], visitor[w], least)
+                    n, label = block_links(x[w], node[w], many[w], member[w], visitor[w], own[w], least)
                     k = np.flatnonzero((n > 0) | (label != np.arange(e - s)))
                     if len(k):
                         parts.append((node[w][k], node[w][label[k]], n[k]))
@@ -181,11 +213,6 @@ def sound(vector: Column) -> Column:
     return F.coalesce(~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def centroids(largest: int) -> int:
-    """Centroids of a half for a label of that many vectors: cells of two blocks each, or as many as codebooks can have before visits outweigh what they save."""
-    return int(min(64, max(2, np.ceil(np.sqrt(largest / (2 * MEMBERS))))))
-
-
 def _linked_numbers(reps: DataFrame, least: float) -> DataFrame:
     """(a, b, n) like _linked() for vectors of one component: their cosine is 1 or -1, so a label and a sign are one group."""
     sign = F.signum(F.get("embedding", F.lit(0))) if least > -1 else F.lit(0.0)
@@ -198,7 +225,9 @@ def _linked_numbers(reps: DataFrame, least: float) -> DataFrame:
 def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
-    k: centroids of each codebook; by default they follow the largest label.
+    k: centroids of each codebook; by default they follow from the visits of a
+    sample and the largest label. Cosines are in double precision; components
+    keep their type, single or else double.
     Rows link if their labels are equal and not null and their cosine is at
     least `least`. Vectors without a direction link with nothing, and neither do
     vectors of different lengths. Equal vectors of a label are one vector that
@@ -206,7 +235,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_co
     own. A null id is never a component's name; a component of null ids alone
     has component_id null, and its rows are not kept.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).alias("label"))
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).alias("label"))
     good = F.col("label").isNotNull() & sound(F.col("embedding"))
     key = F.concat_ws("-", F.hex(F.xxhash64("label", "embedding")), F.hex(F.hash("label", "embedding")))
     rows = rows.withColumn("key", F.when(good, key))
@@ -215,11 +245,10 @@ def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_co
     reps = cut(grouped.withColumn("node", node))
     found = None
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = k or centroids(largest)
     for r in reps.groupBy(F.size("embedding").alias("w")).count().collect():  # lengths of vectors, as a rule one
         if r["count"] > 1 and (r["w"] > 1 or least <= 1):
             some = reps.where(F.size("embedding") == r["w"])
-            one = _linked(some, r["w"], least, k) if r["w"] > 1 else _linked_numbers(some, least)
+            one = _linked(some, r["w"], least, k, largest) if r["w"] > 1 else _linked_numbers(some, least)
             found = one if found is None else found.unionByName(one)
     names = reps.select("key", "node", "least", "many")
     if found is not None:
@@ -227,8 +256,9 @@ def near_vectors(df: DataFrame, least: float = 0.98, k: int | None = None, id_co
         links = found.groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("links"))
         comps = components(found.select("a", "b"))
         member = reps.select("node", "least").join(comps.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
-        name = member.groupBy("root").agg(F.min("least").alias("name"))
-        named = member.join(name, "root").select(F.col("node").alias("_m"), "name")
+        name = cut(member.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("rows")))
+        total = name.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        named = join_hot(member, name, "root", "rows", total).select(F.col("node").alias("_m"), "name")
         names = names.join(links, F.col("node") == F.col("_a"), "left").join(named, F.col("node") == F.col("_m"), "left")
     else:
         names = names.withColumn("links", F.lit(0)).withColumn("name", F.lit(None).cast("long"))

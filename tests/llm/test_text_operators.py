@@ -5,8 +5,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trawl.llm import queries as Q
 from trawl.llm.mixing import mix
@@ -172,6 +174,52 @@ def test_blocks_and_long_runs_lose_no_link(spark, monkeypatch):
         assert all(sorted(got[f]) == sorted(want[f]) for f in fps)
 
 
+def test_points_bound_the_distance_and_every_spare_finds_all(spark):
+    from trawl.llm import simhash as S
+
+    r = random.Random(5)
+    fps = [r.getrandbits(63) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in r.sample(range(63), r.randrange(1, 5))) for f in fps]
+    p = S.points(np.array(fps, np.int64))
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps[:i]):
+            far = sum(abs((a >> s & 3).bit_count() - (b >> s & 3).bit_count()) for s in range(0, 64, 2))
+            assert int(np.bitwise_count(p[i] ^ p[j])) == far <= (a ^ b).bit_count()
+    assert S.spare_groups(10) == 2 and S.spare_groups(1 << 27) == 3 and S.spare_groups(1 << 40) <= 8
+    want = reach([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4], fps)
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    for spare in (2, 3, 4):
+        got = reach([(e.a, e.b) for e in S.link_edges(df, 4, spare).collect()], fps)
+        assert all(sorted(got[f]) == sorted(want[f]) for f in fps)
+
+
+def test_clashing_names_change_nothing(spark, sf):
+    """Further columns that are called like results or like an operator's own columns."""
+    from trawl.llm.tokens import token_counts
+
+    plain = documents(spark, sf)
+    more = plain
+    for k, c in enumerate(["fp", "fingerprint", "component_id", "kept", "host", "h", "n", "removed", "removed_words", "n_words", "_row", "_text", "_hash", "hash", "size", "target", "taken", "times", "_s", "piece", "length", "_salt", "_rank", "_id", "n_tokens"]):
+        more = more.withColumn(c, F.lit(k))
+    for op in (near_duplicates, quality, mix, lambda d: pack_documents(d, Q.vocabulary()).select("doc_id", "piece", "ids_crc32"), lambda d: token_counts(d, Q.vocabulary())):
+        assert Counter(map(tuple, op(more).collect())) == Counter(map(tuple, op(plain).collect()))
+
+
+def test_other_vocabularies_are_encoded_whole():
+    """Where white space doesn't part tokens, ids are the library's for whole texts."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from trawl.llm.packing import WordIds
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        with open(P.path(name), encoding="utf-8") as f:
+            spec = f.read()
+        texts = ["Two  blanks and a\nline, it's fine", "", "  x", "été 東京 12"]
+        want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
+        assert WordIds(spec).encode(texts) == want
+
+
 def base(text):
     w = WORD.findall(text)
     seen, dup = set(), 0
@@ -202,7 +250,11 @@ def judged(rows, share=0.1, least_texts=20, least_words=20):
     return above
 
 
-def test_quality_rules(spark, sf, odd, empty):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_quality_rules(spark, sf, odd, empty, monkeypatch, broadcast):
+    from trawl.llm import quality as Q6
+
+    monkeypatch.setattr(Q6, "MOST_LINES", broadcast)
     common = "the very same footer line that everybody has on every single page of this site whatever it says over there\n"
     made = [(5000 + i, common * (1 + i % 2) + (f"only {i} words" if i % 3 else " ".join(f"u{i}x{j}" for j in range(40))), "host") for i in range(90)]
     more = documents(spark, sf).select("doc_id", "text", "source").union(spark.createDataFrame(made, "doc_id long, text string, source string"))

@@ -5,8 +5,9 @@ point, and the Manhattan distance of two points is at most the Hamming distance
 of their fingerprints. With the segments dealt into 4 + spare groups, points
 within distance 4 differ in at most 4 groups, so they agree in at least `spare`
 whole groups: each choice of that many groups is a grid, and its cells hold the
-points that agree there. Fingerprints that share a cell are verified bit by
-bit. Cells with too many rows are cut into blocks that meet two by two. Every
+points that agree there. `spare` follows the number of fingerprints, so that
+cells stay small. Of what shares a cell, pairs whose points are within Manhattan
+distance 4 are verified bit by bit. Cells with too many rows are cut into blocks that meet two by two. Every
 task returns a forest over what it linked, never all pairs.
 """
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import components, cut, join_hot
+from trawl.llm.common import components, cut, join_hot, parts
 
 #: Most rows of a cell that meet in one block.
 BLOCK = 4096
@@ -61,20 +62,37 @@ def fingerprints(texts: list[str], width: int = 4, seed: int = 42) -> np.ndarray
 def fingerprint_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                b = whole.slice(at, 250)
-                fp = fingerprints([t or "" for t in b.column(1).to_pylist()], width)
+            for b, texts in parts(whole, whole.column(1), most_rows=250):
+                fp = fingerprints(texts, width)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+EVEN = 0x5555555555555555
+
+
+def points(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of all segments of fingerprints, each written with as many ones in its two bits; so the Manhattan distance of two points is how many bits differ."""
+    even = np.uint64(EVEN)
+    u = fp.view(np.uint64)
+    high, low = (u >> np.uint64(1)) & even, u & even
+    return ((high & low) << np.uint64(1)) | high | low
+
+
+def spare_groups(n: int, most_bits: int = 4, load: int = 1024) -> int:
+    """How many groups a grid should have for n fingerprints so that cells hold about `load` of them: a segment's count has 1.5 bits of information."""
+    spare = 2
+    while spare < 8 and n > load * 2 ** (1.5 * 32 * spare / (most_bits + spare)):
+        spare += 1
+    return spare
+
+
 def grid_cells(fp: Column, most_bits: int = 4, spare: int = 2) -> Column:
-    """An array of the cells of a fingerprint, (grid, cell), one for each grid."""
-    even = 0x5555555555555555
-    high = F.shiftrightunsigned(fp, 1)
-    counts = F.shiftleft(fp.bitwiseAND(high).bitwiseAND(F.lit(even)), 1).bitwiseOR(fp.bitwiseXOR(high).bitwiseAND(F.lit(even)))
+    """An array of the cells of a fingerprint's point, (grid, cell), one for each grid."""
+    low, high = fp.bitwiseAND(F.lit(EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(EVEN))
+    counts = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low).bitwiseOR(high)
     groups = most_bits + spare
     masks = [sum(3 << (2 * s) for s in range(32) if s * groups // 32 == g) for g in range(groups)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -98,19 +116,20 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def forest(fp: np.ndarray, most_bits: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what is linked in one set of fingerprints: each row is compared with those not yet reached only."""
-    left = fp.copy()
+    left, point = fp.copy(), points(fp)
     child, parent = [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left, point = [(left[0], point[0])], left[1:], point[1:]
         while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= most_bits
+            x, p = queue.pop()
+            near = np.bitwise_count(point ^ p) <= most_bits
+            near[near] = np.bitwise_count(left[near] ^ x) <= most_bits
             if near.any():
                 new = left[near]
                 child.append(new)
                 parent.append(np.full(len(new), x))
-                queue += list(new)
-                left = left[~near]
+                queue += zip(new, point[near], strict=True)
+                left, point = left[~near], point[~near]
     none = np.zeros(0, fp.dtype)
     return np.concatenate([none, *child]), np.concatenate([none, *parent])
 
@@ -120,11 +139,12 @@ def _linked(run: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray
     start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     length = np.diff(np.append(start, len(run)))
     short = np.repeat(length <= SHORT, length)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, point = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], points(fp)
     for d in range(1, int(min(SHORT, length.max(initial=0)))):
         i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
         if not len(i):
             break
+        i = i[np.bitwise_count(point[i] ^ point[i + d]) <= most_bits]
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most_bits]
         a.append(i)
         b.append(i + d)
@@ -168,7 +188,7 @@ def link_edges(fps: DataFrame, most_bits: int = 4, spare: int = 2) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most_bits: int = 4, spare: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most_bits: int = 4, spare: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id, kept of each row.
 
     component_id: the smallest doc_id that links reach. Equal fingerprints are
@@ -181,10 +201,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = cut(fingerprint_rows(df, id_col, text_col, width))
     total = docs.count()
     fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    comps = components(link_edges(fps.select("fp"), most_bits, spare))
+    comps = components(link_edges(fps.select("fp"), most_bits, spare or spare_groups(fps.count(), most_bits)))
     member = comps.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    named = member.groupBy("root").agg(F.min("least").alias("name"))
-    named = member.select("fp", "root").join(named, "root").select(F.col("fp").alias("_f"), "name")
+    roots = cut(member.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("rows")))
+    linked = roots.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    named = join_hot(member.select("fp", "root"), roots, "root", "rows", linked).select(F.col("fp").alias("_f"), "name")
     names = fps.join(named, F.col("fp") == F.col("_f"), "left").select("fp", "n", F.coalesce("name", "least").alias("component_id"))
     out = join_hot(docs, cut(names), "fp", "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -192,5 +213,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of a table without those that near_duplicates() drops; its columns stay. Rows without an id stay."""
-    gone = near_duplicates(df, id_col, text_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(cut(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(df, id_col, text_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    return rows.join(cut(gone), F.col("_id") == F.col("id"), "left_anti").select("_row.*")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm.common import parts
+
 START, UNKNOWN = 0, 1
 NONE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Lower case of two capitals that Unicode added after Python's tables.
@@ -222,6 +224,14 @@ class WordTransducer:
         return out.reshape(-1)[:n]
 
 
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer's JSON is a lower-casing BPE vocabulary with word ends, in which white space always parts tokens."""
+    kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    return spec["model"]["type"] == "BPE" and kinds == ["NFC", "Replace", "Lowercase"] and split == pattern
+
+
 class TokenCounter:
     """Counts the tokens of texts for a byte-level vocabulary with word ends, read from a tokenizer's JSON."""
 
@@ -229,10 +239,7 @@ class TokenCounter:
 
     def __init__(self, spec: str, most_labels: int = 1 << 20):
         spec = json.loads(spec)
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        if spec["model"]["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or split != pattern:
+        if not by_words(spec):
             raise ValueError("only lower-casing BPE vocabularies with word ends can be compiled")
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)))
@@ -308,8 +315,7 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(spec)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+        for b, texts in (x for whole in batches for x in parts(whole, whole.column(1))):
             n = c.count(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 

@@ -13,6 +13,7 @@ holds a third of all pieces is spread.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import cut
+from trawl.llm.common import cut, parts
+from trawl.llm.tokens import by_words
 
 #: Pieces that are ranked in one window at most, on average.
 SALT_ROWS = 50_000
+#: Bytes that a known word takes, about: its text, its ids and their places; longer ones than 64 characters aren't kept.
+ENTRY = 220
 #: A control character, which stands between words that are encoded together.
 MARK = "\x01"
 
@@ -136,29 +140,31 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
 
 
 class WordIds:
-    """A tokenizer's ids for texts, as bytes of little-endian numbers. The vocabulary never joins what white space parts, so words are looked up one by one; two generations of known words bound the memory."""
+    """A tokenizer's ids for texts, as bytes of little-endian numbers. Where white space always parts tokens, words are looked up one by one, and two generations of known words, of most bytes each, bound the memory; other vocabularies encode whole texts."""
 
-    def __init__(self, spec: str, most: int = 500_000):
+    def __init__(self, spec: str, most: int = 80_000_000):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_str(spec), most
+        self.apart = by_words(json.loads(spec))
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Ids of words one by one. They go to the library many at a time, between them a mark that is one token and no part of a word; words that hold the mark go alone."""
         if self.mark is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         number = self.mark
         out: list[bytes] = []
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
             if any(MARK in w for w in part):
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(part, add_special_tokens=False)]
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
                 continue
-            ids = np.array(self.library.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
             raw, at = ids.tobytes(), 0
             for e in ends:
@@ -167,15 +173,18 @@ class WordIds:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         need = set().union(*split)
         long_ = {w for w in need if len(w) > 64}
-        if len(self.young) + len(need) > self.most:
-            self.old, self.young = self.young, {"": b""}
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {"": b""}, 0
         known = self.young
         new = []
         for w in need:
             if w not in known:
+                self.size += ENTRY
                 if w in self.old:
                     known[w] = self.old[w]
                 else:
@@ -187,7 +196,7 @@ class WordIds:
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def word_ids(spec: str) -> WordIds:
     import os
 
@@ -204,10 +213,9 @@ def pieces(df: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(spec)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b, texts in parts(whole, whole.column(1)):
                 who, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(words.encode([t or "" for t in b.column(1).to_pylist()])):
+                for k, ids in enumerate(words.encode(texts)):
                     ids += end
                     for p, x in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[x : x + 4 * size]

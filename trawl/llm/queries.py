@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm.common import table
+from trawl.llm.common import small_batches, table
 from trawl.llm.embeddings import near_vectors
 from trawl.llm.extraction import main_text
 from trawl.llm.licenses import license_scan
@@ -66,6 +67,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc)}
+def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that lowers the rows of Arrow batches before it plans."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: registered(f) for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,7 @@ from trawl.llm.tokens import by_words
 #: Pieces that are ranked in one window at most, on average.
 SALT_ROWS = 50_000
 #: Bytes that a known word takes, about: its text, its ids and their places; longer ones than 64 characters aren't kept.
-ENTRY = 220
+ENTRY = 190
 #: A control character, which stands between words that are encoded together.
 MARK = "\x01"
 
@@ -176,19 +176,18 @@ class WordIds:
         if not self.apart:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        long_ = {w for w in need if len(w) > 64}
         if self.size > self.most:
             self.old, self.young, self.size = self.young, {"": b""}, 0
-        known = self.young
+        known, old = self.young, self.old
+        missing = set().union(*split).difference(known)
+        long_ = [w for w in missing if len(w) > 64]
+        self.size += ENTRY * len(missing)
         new = []
-        for w in need:
-            if w not in known:
-                self.size += ENTRY
-                if w in self.old:
-                    known[w] = self.old[w]
-                else:
-                    new.append(w)
+        for w in missing:
+            if (x := old.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = x
         known |= zip(new, self.ids(new), strict=True)
         out = [b"".join([known[w] for w in words]) for words in split]
         for w in long_:

@@ -101,14 +101,19 @@ def coverage(evidence: Column, chunk: Column) -> Column:
     return F.when(F.size(evidence) > 0, F.size(F.array_intersect(evidence, chunk)) / F.size(evidence)).otherwise(0.0)
 
 
-def numeric_density(text: Column) -> Column:
-    w = words(text)
+def numeric_density(text: Column, split=words) -> Column:
+    """Share of words with a digit; 0 without words."""
+    w = split(text)
     return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike(r"\d"))) / F.size(w)).otherwise(0.0)
 
 
-def junk_ratio(text: Column) -> Column:
+def word_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
+
+
+def junk_ratio(text: Column, split=word_tokens) -> Column:
     """Share of word tokens of one character; 1 if there are no tokens."""
-    w = F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
+    w = split(text)
     return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) <= 1)) / F.size(w)).otherwise(1.0)
 
 
@@ -135,9 +140,9 @@ def chat(system: str, context: Column, question: Column, answer: Column | None =
     return F.array(*out, *([message("assistant", answer)] if answer is not None else []))
 
 
-def clip(text: Column, limit: int = 460) -> Column:
+def clip(text: Column, limit: int = 460, split=words) -> Column:
     """The first `limit` word tokens joined by blanks; a text that is short enough stays as it is."""
-    w = words(text)
+    w = split(text)
     return F.when(F.size(w) <= limit, text).otherwise(F.array_join(F.slice(w, 1, limit), " "))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import junk_ratio, numeric_density, prefix_key, word_count
+from trawl.functions.text import junk_ratio, numeric_density, prefix_key, words
 from trawl.operators.select import percentage
 
 
-def chunk_quality(chunks: DataFrame, short: int = 50) -> DataFrame:
-    rows = chunks.select(word_count(F.col("text")).alias("n"), junk_ratio(F.col("text")).alias("junk"), prefix_key(F.col("text")).alias("key"))
+def chunk_quality(chunks: DataFrame, short: int = 50, split=words) -> DataFrame:
+    """One row: number, mean and median words, short ones, mean junk share and distinct beginnings of chunks."""
+    rows = chunks.select(F.size(split(F.col("text"))).alias("n"), junk_ratio(F.col("text")).alias("junk"), prefix_key(F.col("text")).alias("key"))
     return rows.agg(
         F.count("*").alias("n_chunks"),
         F.round(F.avg("n"), 6).alias("mean_words"),
@@ -54,9 +55,10 @@ def first_ranks(run: DataFrame, qrels: DataFrame, queries: DataFrame, depth: int
     return queries.select("qid").join(hits, "qid", "left").join(best, "qid", "left").select("qid", F.coalesce("r", F.lit(depth + 1)).alias("first_rank"), "gold_score", "top_score")
 
 
-def rank_histogram(first: DataFrame, depth: int) -> DataFrame:
+def rank_histogram(first: DataFrame, depth: int, missed: str = "missed") -> DataFrame:
+    """How many queries find gold first in each range of ranks; `missed` names those that don't within depth."""
     r = F.col("first_rank")
-    name = F.when(r > depth, "missed").when(r == 1, "1").when(r <= 10, "2-10").when(r <= 20, "11-20").when(r <= 100, "21-100").otherwise("101+")
+    name = F.when(r > depth, missed).when(r == 1, "1").when(r <= 10, "2-10").when(r <= 20, "11-20").when(r <= 100, "21-100").when(r <= 1000, "101-1000").otherwise("beyond")
     return first.groupBy(name.alias("ranks")).agg(F.count("*").alias("n"))
 
 

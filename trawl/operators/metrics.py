@@ -107,3 +107,9 @@ def sequence_scores(pairs: DataFrame, key: str, prediction: str = "prediction",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(rouge, 9)), pa.array(np.round([bleu(p, g) for p, g in zip(ps, gs, strict=True)], 9))], [key, "rouge_l", "bleu"])
 
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, rouge_l double, bleu double")
+
+
+def gains(table: DataFrame, key: str, metric: str, base: str) -> DataFrame:
+    """key, gain of each row: its metric over that of the base row, which counts as 1e-9 at least."""
+    of = table.where(F.col(key) == base).select(F.greatest(F.col(metric), F.lit(1e-9)).alias("_base"))
+    return table.crossJoin(F.broadcast(of.limit(1))).select(key, F.round(F.col(metric) / F.col("_base"), 6).alias("gain"))

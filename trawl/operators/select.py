@@ -46,6 +46,12 @@ def histogram(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def per_query_counts(qrels: DataFrame) -> DataFrame:
+    """One row: mean and median number of relevant chunks of a query, and how many queries have any."""
+    n = qrels.groupBy("qid").agg(F.count("*").alias("n"))
+    return n.agg(F.round(F.avg("n"), 6).alias("mean_chunks"), F.expr("percentile(n, 0.5)").alias("median_chunks"), F.count("*").alias("n_queries"))
+
+
 def percentage(condition: Column) -> Column:
     return F.round(F.avg(condition.cast("double")) * 100, 6)
 

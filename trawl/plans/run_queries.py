@@ -161,6 +161,16 @@ def rank_histogram(spark, sf):
     return diagnose.rank_histogram(first, DEPTH)
 
 
+def rank_histogram_deep(spark, sf):
+    """With all ranges of ranks, from a run of depth 1000."""
+    first = diagnose.first_ranks(dense_run(spark, sf, 1000), vector_qrels(spark, sf), vector_queries(spark, sf), 1000)
+    return diagnose.rank_histogram(first, 1000, "beyond")
+
+
+def ratio_gains(spark, sf):
+    return metrics.gains(system_table(spark, sf), "system", "ndcg_10", "half")
+
+
 def gold_separation(spark, sf):
     return diagnose.separation(diagnose.first_ranks(dense_run(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf), DEPTH))
 
@@ -308,6 +318,8 @@ ORACLES = {
     "rerank_movement": sql("SELECT count(*) FILTER (a AND b) AS kept, count(*) FILTER (a AND NOT b) AS pushed, count(*) FILTER (b AND NOT a) AS pulled FROM (SELECT qid, chunk_id, bool_or(system = 'half') AS a, bool_or(system = 'rerank@50') AS b FROM runs JOIN vq USING (qid, chunk_id) WHERE rank <= 10 AND system IN ('half', 'rerank@50') GROUP BY ALL)", "runs", "vq"),
     "circularity": sql("SELECT system, label % 2 = 0 AS named, count(*) AS n, round(avg(ndcg_10), 6) AS ndcg_10 FROM per JOIN q USING (qid) GROUP BY ALL", "per", "q"),
     "rank_histogram": _with(sql("@SELECT CASE WHEN r > 100 THEN 'missed' WHEN r = 1 THEN '1' WHEN r <= 10 THEN '2-10' WHEN r <= 20 THEN '11-20' ELSE '21-100' END AS ranks, count(*) AS n FROM f GROUP BY ALL", "dense", "vq", "q"), _FIRST),
+    "rank_histogram_deep": sql("SELECT CASE WHEN r > 1000 THEN 'beyond' WHEN r = 1 THEN '1' WHEN r <= 10 THEN '2-10' WHEN r <= 20 THEN '11-20' WHEN r <= 100 THEN '21-100' ELSE '101-1000' END AS ranks, count(*) AS n FROM (SELECT q.qid, coalesce(min(rank), 1001) AS r FROM q LEFT JOIN (SELECT qid, rank FROM dense JOIN vq USING (qid, chunk_id) WHERE rank <= 1000) d ON d.qid = q.qid GROUP BY q.qid) GROUP BY ALL", "dense", "vq", "q"),
+    "ratio_gains": sql("SELECT system, round(round(avg(ndcg_10), 6) / greatest((SELECT round(avg(ndcg_10), 6) FROM per WHERE system = 'half'), 1e-9), 6) AS gain FROM per GROUP BY system", "per"),
     "gold_separation": _with(sql("@SELECT round(avg(t - g), 6) AS mean_gap, count(g) AS n_found, count(*) FILTER (r BETWEEN 21 AND 100) AS recoverable, count(*) AS n_queries FROM f", "dense", "vq", "q"), _FIRST),
     "embedding_geometry": sql("SELECT count(*) AS n_pairs, round(avg(c), 6) AS mean_cos, round(stddev_pop(c), 6) AS std_cos, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.95), 6) AS p95 FROM (SELECT list_dot_product(a.e, b.e) AS c FROM q a JOIN q b ON a.qid < b.qid)", "q"),
     "unit_vectors": "SELECT vec_id AS chunk_id, round(list_dot_product(v, v), 6) AS norm2, round(list_max(v), 6) AS largest FROM (SELECT vec_id, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-9)) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))",

@@ -133,15 +133,11 @@ def ticker_mentions(spark, sf):
 
 
 def numeric_density(spark, sf):
-    w = ascii_words(F.col("text"))
-    share = F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike("[0-9]"))) / F.size(w)).otherwise(0.0)
-    return load(spark, sf, "documents").select("doc_id", F.round(share, 9).alias("density"))
+    return load(spark, sf, "documents").select("doc_id", F.round(T.numeric_density(F.col("text"), ascii_words), 9).alias("density"))
 
 
 def junk_ratio(spark, sf):
-    w = T.tokens(F.col("text"))
-    share = F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.length(x) <= 1)) / F.size(w)).otherwise(1.0)
-    return load(spark, sf, "documents").select("doc_id", F.round(share, 9).alias("junk"))
+    return load(spark, sf, "documents").select("doc_id", F.round(T.junk_ratio(F.col("text"), T.tokens), 9).alias("junk"))
 
 
 def prefix_duplicates(spark, sf):
@@ -149,8 +145,7 @@ def prefix_duplicates(spark, sf):
 
 
 def chunk_quality(spark, sf):
-    c = chunks(spark, sf)
-    return c.agg(F.count("*").alias("n_chunks"), F.round(F.avg("n_words"), 6).alias("mean_words"), F.expr("percentile(n_words, 0.5)").alias("median_words"), F.count_if(F.col("n_words") < 50).alias("n_short"), F.count_distinct(T.prefix_key(F.col("text"))).alias("distinct_prefixes"))
+    return diagnose.chunk_quality(chunks(spark, sf), split=ascii_words).drop("mean_junk")
 
 
 def query_texts(spark, sf):
@@ -158,8 +153,7 @@ def query_texts(spark, sf):
 
 
 def clipped(spark, sf):
-    w = ascii_words(F.col("text"))
-    return load(spark, sf, "documents").select("doc_id", F.when(F.size(w) <= 460, F.col("text")).otherwise(F.array_join(F.slice(w, 1, 460), " ")).alias("text"))
+    return load(spark, sf, "documents").select("doc_id", T.clip(F.col("text"), 460, ascii_words).alias("text"))
 
 
 def id_parts(spark, sf):
@@ -257,6 +251,10 @@ def grade_histogram(spark, sf):
     return select.histogram(gold(spark, sf).join(sides, "filing"), "side", "grade")
 
 
+def chunks_per_query(spark, sf):
+    return select.per_query_counts(text_qrels(spark, sf))
+
+
 def filing_split_hash(spark, sf):
     return split.by_hash(chunks(spark, sf))
 
@@ -332,6 +330,7 @@ _RUNS = {
     "rrf_hybrid": sql("SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(1 / (60 + rank)) AS score FROM (SELECT qid, chunk_id, rank FROM bm_ranked WHERE rank <= 100 UNION ALL SELECT ref, chunk_id, rank FROM cos_ranked WHERE rank <= 100) GROUP BY ALL)) WHERE rank <= 20", "bm_ranked", "cos_ranked"),
     "rerank_depth_sweep": sql("SELECT system, qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY system, qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT 'rerank@' || depth AS system, qid, chunk_id, (SELECT count(DISTINCT term) FROM qw JOIN cpost USING (term) WHERE ref = qid AND cpost.chunk_id = b.chunk_id) / (SELECT len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) FROM benchmark WHERE item_id = qid) AS score FROM bm_ranked b, (SELECT unnest([50, 100, 200]) AS depth) WHERE rank <= depth)", "bm_ranked", "cpost", "qw"),
     "grade_histogram": sql("SELECT CASE WHEN ('0x' || substring(md5(filing), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS side, grade, count(*) AS n FROM gold GROUP BY ALL", "gold"),
+    "chunks_per_query": sql("SELECT round(avg(n), 6) AS mean_chunks, quantile_cont(n, 0.5) AS median_chunks, count(*) AS n_queries FROM (SELECT qid, count(*) AS n FROM qrels GROUP BY qid)", "qrels"),
     "filing_split_hash": "SELECT DISTINCT source AS filing, CASE WHEN ('0x' || substring(md5(source), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS side FROM documents",
     "all_gold_one_side": sql("SELECT qid, CASE WHEN bool_and(s = 'train') THEN 'train' WHEN bool_and(s = 'test') THEN 'test' ELSE 'spanning' END AS side FROM (SELECT qid, CASE WHEN ('0x' || substring(md5(filing), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS s FROM gold) GROUP BY qid", "gold"),
     "split_drift": "WITH a AS (SELECT DISTINCT source AS filing FROM documents), b AS (SELECT DISTINCT source || CASE WHEN source = 'src1' THEN 'b' ELSE '' END AS filing FROM documents WHERE lang <> 'en') SELECT filing, 'missing' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT filing, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",

@@ -17,8 +17,9 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """filing (the file's stem) and html of all .html files below a folder. Two files of one stem are an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
-    out = files.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("filing"), strip_undecodable(F.col("content")).alias("html"))
-    return out
+    stem = F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("filing")
+    require_empty(duplicate_keys(files.select(stem), "filing"), "files of one name")
+    return files.select(stem, strip_undecodable(F.col("content")).alias("html"))
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

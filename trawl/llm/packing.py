@@ -31,6 +31,8 @@ from trawl.llm.tokens import by_words
 SALT_ROWS = 50_000
 #: Bytes that a known word takes, about: its text, its ids and their places; longer ones than 64 characters aren't kept.
 ENTRY = 190
+#: Bytes of known words in a worker's generation, by default.
+KNOWN = 80_000_000
 #: A control character, which stands between words that are encoded together.
 MARK = "\x01"
 
@@ -142,7 +144,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
 class WordIds:
     """A tokenizer's ids for texts, as bytes of little-endian numbers. Where white space always parts tokens, words are looked up one by one, and two generations of known words, of most bytes each, bound the memory; other vocabularies encode whole texts."""
 
-    def __init__(self, spec: str, most: int = 80_000_000):
+    def __init__(self, spec: str, most: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_str(spec), most
@@ -196,21 +198,21 @@ class WordIds:
 
 
 @lru_cache(1)
-def word_ids(spec: str) -> WordIds:
+def word_ids(spec: str, most: int) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(spec)
+    return WordIds(spec, most)
 
 
-def pieces(df: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, known: int = KNOWN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids and the end id after them; documents longer than size are cut every size ids."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(spec)
+        words = word_ids(spec, known)
         for whole in batches:
             for b, texts in parts(whole, whole.column(1)):
                 who, piece, start, length, crc = [], [], [], [], []
@@ -261,6 +263,6 @@ def pack(cut_pieces: DataFrame, size: int = 2048) -> DataFrame:
     return ranked.mapInArrow(deal, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """Packs all documents into sequences of at most size tokens; see pieces() and pack(). A null or empty text is one piece of the end id alone."""
-    return pack(cut(pieces(df, tokenizer, size, id_col, text_col)), size)
+    return pack(cut(pieces(df, tokenizer, size, id_col, text_col, known=known)), size)

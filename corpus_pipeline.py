@@ -43,7 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences of 2048 tokens. Rows that repeat have a place each; a null or empty text is one piece of the end id."""
-    return pack_documents(docs, vocabulary(), 2048)
+    # fewer known words than by default: executors still hold what the stages before this one left
+    return pack_documents(docs, vocabulary(), 2048, known=40_000_000)
 
 
 def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

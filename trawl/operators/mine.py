@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trawl.functions.text import content_tokens
 from trawl.operators.retrieve import ranked
 from trawl.operators.select import neighbours, not_gold
+from trawl.sources.store import cut
 
 
 def gathered(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
@@ -35,23 +36,33 @@ def shares(candidates: DataFrame, qrels: DataFrame, corpus: DataFrame, terms=con
     return both.groupBy("qid", "chunk_id").agg((F.sum(F.least("tf", F.coalesce("g", F.lit(0)))) / F.sum("tf")).alias("share"))
 
 
-def banded(scores: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, n_in: int = 4, n_cross: int = 4, band: float = 0.35, reach: int = 1) -> DataFrame:
+def own_filings(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """qid, own: the filing of a query's gold, the least one where it lies in several."""
+    return qrels.join(corpus.select("chunk_id", "filing"), "chunk_id").groupBy("qid").agg(F.min("filing").alias("own"))
+
+
+def in_filing_pairs(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """qid, chunk_id: the chunks of each query's own filing."""
+    return corpus.select("chunk_id", F.col("filing").alias("own")).join(own_filings(qrels, corpus), "own").select("qid", "chunk_id")
+
+
+def banded(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, n_in: int = 4, n_cross: int = 4, band: float = 0.35, reach: int = 1) -> DataFrame:
     """qid, pos_id, negatives, n_in_filing, n_cross_filing: a row for each primary positive.
 
-    scores: (qid, chunk_id, score) of all pairs; corpus: chunk_id, filing,
-    chunk_idx, text. Gold, what lies beside it, and what shares `band` or more
+    run: (qid, chunk_id, score) of the global top `depth` or more; inside: of
+    in_filing_pairs(); corpus: chunk_id, filing, chunk_idx, text. Gold, what lies beside it, and what shares `band` or more
     of its content with it are banned. Cross-filing negatives come from the
     global top `depth`, in-filing ones from the filing of the gold. Primary are
     grade-2 chunks, or all gold where there is none.
     """
     where = corpus.select("chunk_id", "filing", "chunk_idx")
     gold = qrels.join(where, "chunk_id")
-    own = gold.groupBy("qid").agg(F.min("filing").alias("own"))
+    own = own_filings(qrels, corpus)
     banned = neighbours(gold, reach).join(where, ["filing", "chunk_idx"]).select("qid", "chunk_id")
-    top = ranked(scores, depth, "qid").join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
+    top = ranked(run.select("qid", "chunk_id", "score"), depth, "qid").join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
     cross = top.where(F.col("filing") != F.col("own")).select("qid", "chunk_id", "score", F.lit("cross").alias("kind"))
-    inside = scores.join(where.select("chunk_id", "filing"), "chunk_id").join(own.withColumnRenamed("own", "filing"), ["qid", "filing"]).select("qid", "chunk_id", "score", F.lit("in").alias("kind"))
-    both = cross.unionByName(inside).join(banned, ["qid", "chunk_id"], "left_anti")
+    inside = inside.select("qid", "chunk_id", "score", F.lit("in").alias("kind"))
+    both = cut(cross.unionByName(inside).join(banned, ["qid", "chunk_id"], "left_anti"))
     kept = both.join(shares(both, qrels, corpus).where(F.round("share", 9) < band), ["qid", "chunk_id"])
     kept = ranked(kept, max(n_in, n_cross), "qid", "kind").where(((F.col("kind") == "in") & (F.col("rank") <= n_in)) | ((F.col("kind") == "cross") & (F.col("rank") <= n_cross)))
     order = F.struct((F.col("kind") == "cross").alias("k"), "rank")

@@ -7,6 +7,7 @@ doesn't depend on the order of additions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import lower_words
+from trawl.sources.store import cut
 
 
 def ranked(scores: DataFrame, k: int | None, *by: str, tie: str = "chunk_id") -> DataFrame:
@@ -41,23 +43,40 @@ def bm25_idf(stats: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, terms=lower_words) -> DataFrame:
+class KeywordIndex(NamedTuple):
+    """postings: chunk_id, term, dl, tf; idf: term, idf; n chunks of avgdl terms on average."""
+
+    postings: DataFrame
+    idf: DataFrame
+    n: int
+    avgdl: float
+
+
+def keyword_index(corpus: DataFrame, terms=lower_words) -> KeywordIndex:
+    """The terms of each chunk, found once and stored; statistics and joins read that. chunk_id is a key."""
+    rows = corpus.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    post = cut(rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
+    size = corpus.agg(F.count("*").alias("n"), F.count("text").alias("texts")).first()
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    return KeywordIndex(post, bm25_idf(term_stats(post), size["n"]), size["n"], total / max(size["texts"], 1))
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, terms=lower_words, index: KeywordIndex | None = None, within: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, score, rank. A query's repeated term counts each time.
 
     Corpus statistics cover all terms; only postings of the queries' terms go
-    on to the join. Chunks without any of them aren't ranked.
+    on to the join. Chunks without any of them aren't ranked. within: pairs
+    (qid, chunk_id) that alone are scored, found by chunk before by term.
     """
-    docs = corpus.select("chunk_id", terms(F.col("text")).alias("t"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    if not size["n"]:
-        return ranked(queries.select("qid").join(corpus.select("chunk_id")).select("qid", "chunk_id", F.lit(0.0).alias("score")).limit(0), k, "qid")
+    index = index or keyword_index(corpus, terms)
     wanted = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    idf = bm25_idf(term_stats(postings(docs, "chunk_id", F.col("t"))), size["n"])
-    lengths = docs.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = lengths.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    hit = tf.join(wanted, "term").join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / size["avgdl"]))
-    return ranked(hit.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")), k, "qid")
+    tf = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    if within is None:
+        hit = tf.join(wanted, "term")
+    else:
+        hit = tf.join(within.select("qid", "chunk_id").distinct(), "chunk_id").join(wanted, ["qid", "term"])
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    return ranked(hit.join(index.idf, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")), k, "qid")
 
 
 def vocabulary(post: DataFrame, most: int) -> DataFrame:
@@ -74,8 +93,8 @@ def tfidf(post: DataFrame, stats: DataFrame, n_docs: int, id_col: str) -> DataFr
 
 def cosine_by_terms(queries: DataFrame, corpus: DataFrame, terms, most: int = 200_000, query_key: str = "ref") -> DataFrame:
     """query key, chunk_id, score for pairs that share a term, that is with a score above 0."""
-    post = postings(corpus, "chunk_id", terms(F.col("text")))
-    stats = vocabulary(post, most)
+    post = cut(postings(corpus, "chunk_id", terms(F.col("text"))))
+    stats = cut(vocabulary(post, most))
     n = corpus.count()
     q = tfidf(postings(queries, query_key, terms(F.col("text"))), stats, n, query_key).withColumnRenamed("w", "qw")
     # norms need all of a chunk's terms; the join only those of the queries

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from trawl.functions import text as T
 from trawl.operators import diagnose, metrics, mine, retrieve, select, stats
 from trawl.plans import text_queries as X
-from trawl.plans.tables import ascii_words, chunks, load, questions, vector_qrels, vector_queries, vectors
+from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io
+from trawl.sources.store import cut
 
 DEPTH = 100
 SYSTEMS = ["dense", "half", "hybrid", "rerank@50"]
@@ -193,8 +194,11 @@ def by_document(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("chunk_id", F.col("doc_id").alias("filing"), "chunk_idx", "text")
 
 
-def banded(spark: SparkSession, sf: str, **how) -> DataFrame:
-    return mine.banded(X.bm25_run(spark, sf, None).select("qid", "chunk_id", "score"), X.text_qrels(spark, sf), by_document(spark, sf), **how)
+def banded(spark: SparkSession, sf: str, depth: int = 200, **how) -> DataFrame:
+    q, c, qrels = questions(spark, sf), by_document(spark, sf), cut(X.text_qrels(spark, sf))
+    index = retrieve.keyword_index(c, lower_ascii_words)
+    score = lambda k, pairs: retrieve.bm25(q, c, k, terms=lower_ascii_words, index=index, within=pairs)
+    return mine.banded(score(depth, None), score(None, mine.in_filing_pairs(qrels, c)), qrels, c, depth=depth, **how)
 
 
 def negatives_banded(spark, sf):
@@ -300,6 +304,21 @@ _MEANS = "count(*) AS n_queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for
 _FIRST = "f AS MATERIALIZED (SELECT q.qid, coalesce(min(rank) FILTER (vq.grade IS NOT NULL), 101) AS r, max(score) FILTER (vq.grade IS NOT NULL) AS g, max(score) FILTER (rank = 1) AS t FROM q LEFT JOIN (SELECT * FROM dense WHERE rank <= 100) d ON d.qid = q.qid LEFT JOIN vq ON vq.qid = d.qid AND vq.chunk_id = d.chunk_id GROUP BY q.qid)"
 
 
+def _banded(depth: int, n_in: int, n_cross: int, band: float) -> str:
+    parts = {
+        "own": "SELECT qid, min(doc_id) AS own FROM gold GROUP BY qid",
+        "banned": "SELECT DISTINCT g.qid, c.chunk_id FROM gold g JOIN chunks c ON c.doc_id = g.doc_id AND abs(c.chunk_idx - g.chunk_idx) <= 1",
+        "cand": f"SELECT qid, chunk_id, score, kind FROM (SELECT b.qid, b.chunk_id, score, unnest(list_filter([CASE WHEN doc_id = own THEN 'in' END, CASE WHEN doc_id <> own AND rank <= {depth} THEN 'cross' END], lambda x: x IS NOT NULL)) AS kind FROM bm_ranked b JOIN chunks USING (chunk_id) JOIN own ON own.qid = b.qid) WHERE (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM banned)",
+        "ctok": "SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS term FROM chunks) GROUP BY ALL",
+        "gtok": "SELECT qid, term, sum(tf) AS g FROM qrels JOIN ctok USING (chunk_id) GROUP BY ALL",
+        "share": "SELECT c.qid, c.chunk_id, sum(least(tf, coalesce(g, 0))) / sum(tf) AS share FROM cand c JOIN ctok USING (chunk_id) LEFT JOIN gtok ON gtok.qid = c.qid AND gtok.term = ctok.term GROUP BY ALL",
+        "kept": f"SELECT * FROM (SELECT qid, chunk_id, kind, row_number() OVER (PARTITION BY qid, kind ORDER BY round(score, 9) DESC, chunk_id) AS r FROM cand JOIN share USING (qid, chunk_id) WHERE round(share, 9) < {band}) WHERE r <= CASE WHEN kind = 'in' THEN {n_in} ELSE {n_cross} END",
+        "lists": "SELECT qid, list(chunk_id ORDER BY kind = 'cross', r) AS negatives, count(*) FILTER (kind = 'in') AS n_in_filing, count(*) FILTER (kind = 'cross') AS n_cross_filing FROM kept GROUP BY qid",
+    }
+    more = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in parts.items())
+    return _with(sql("@SELECT qid, chunk_id AS pos_id, negatives, n_in_filing, n_cross_filing FROM (SELECT *, bool_or(grade = 2) OVER (PARTITION BY qid) AS has2 FROM qrels) JOIN lists USING (qid) WHERE grade = 2 OR NOT has2", "bm_ranked", "gold"), more)
+
+
 def _with(query: str, more: str) -> str:
     """More expressions before a query's last SELECT, marked by @."""
     return query.replace(") @", f"), {more} ", 1)
@@ -324,6 +343,8 @@ ORACLES = {
     "embedding_geometry": sql("SELECT count(*) AS n_pairs, round(avg(c), 6) AS mean_cos, round(stddev_pop(c), 6) AS std_cos, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.95), 6) AS p95 FROM (SELECT list_dot_product(a.e, b.e) AS c FROM q a JOIN q b ON a.qid < b.qid)", "q"),
     "unit_vectors": "SELECT vec_id AS chunk_id, round(list_dot_product(v, v), 6) AS norm2, round(list_max(v), 6) AS largest FROM (SELECT vec_id, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-9)) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))",
     "negatives_basic": _with(sql("@SELECT * FROM basic", "dense", "vq"), _BASIC),
+    "negatives_banded": _banded(200, 4, 4, 0.35),
+    "negatives_rerank": _banded(100, 4, 2, 0.50),
     "contrastive_rows": _with(sql("@SELECT qid, pos_id, unnest(negatives[1:2]) AS negative FROM basic", "dense", "vq"), _BASIC),
     "pairwise_rows": _with(sql("@SELECT qid, pos_id AS chunk_id, 1.0::DOUBLE AS label FROM basic UNION ALL SELECT qid, unnest(negatives[1:4]), 0.0::DOUBLE FROM basic", "dense", "vq"), _BASIC),
     "triplet_accuracy": _with(sql("@SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(p.score), 6) AS mean_pos, round(avg(n.score), 6) AS mean_neg, count(*) AS n FROM (SELECT qid, pos_id, unnest(negatives) AS neg FROM basic) b JOIN sims p ON p.qid = b.qid AND p.chunk_id = pos_id JOIN sims n ON n.qid = b.qid AND n.chunk_id = neg", "dense", "vq", "sims"), _BASIC),
@@ -337,6 +358,6 @@ ORACLES = {
     "trec_lines": X.sql("SELECT qid, CAST(rank AS INTEGER) AS rank, qid || ' Q0 ' || chunk_id || ' ' || rank || ' ' || format('{:.6f}', score) || ' bm25' AS line FROM (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm_ranked WHERE rank <= 10)", "bm_ranked"),
     "embedding_manifest": "SELECT 'given' AS model, count(*) AS n_chunks, max(len(embedding))::BIGINT AS dim, sha1(string_agg(CAST(vec_id AS VARCHAR), '' ORDER BY vec_id)) AS fingerprint FROM embeddings",
 }
-WITHOUT_SQL = ("bootstrap_numpy", "delta_pairs", "negatives_banded", "negatives_rerank", "rouge_l_bleu")
+WITHOUT_SQL = ("bootstrap_numpy", "delta_pairs", "rouge_l_bleu")
 QUERIES = {name: globals()[name] for name in [*ORACLES, *WITHOUT_SQL]}
 

@@ -28,7 +28,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import cut, join_hot, shared_dir
+from trawl.llm.common import cut, join_hot
+from trawl.sources.store import shared_dir
 
 #: Captures in a block; bytes after which a task begins another archive.
 BLOCK, ARCHIVE = 512, 256 << 20

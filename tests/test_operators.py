@@ -223,3 +223,28 @@ def test_dense_blocks(spark):
         s = x @ x[i]
         s[i] = -np.inf
         assert [got[i, k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
+def test_stages(spark, tmp_path):
+    """Tables that are there are kept, a failing stage stops those that need it alone, and a dry run makes nothing."""
+    from trawl.plans.stages import Stage, pending, run_stages
+
+    def broken(s, t):
+        raise ValueError("no data")
+
+    stages = [Stage("a", lambda s, t: s.range(3)), Stage("b", broken, ("a",)), Stage("c", lambda s, t: t["b"], ("b",)), Stage("d", lambda s, t: t["a"].where("id > 0"), ("a",))]
+    assert [o for _, o in run_stages(spark, stages, str(tmp_path), dry=True)] == ["planned"] * 4
+    assert [o for _, o in run_stages(spark, stages, str(tmp_path))] == ["made", "failed: no data", "skipped", "made"]
+    assert pending(spark, stages, str(tmp_path)) == ["b", "c"]
+    stages[1] = Stage("b", lambda s, t: t["a"], ("a",))
+    assert [o for _, o in run_stages(spark, stages, str(tmp_path))] == ["kept", "made", "made", "kept"]
+    assert spark.read.parquet(f"{tmp_path}/d").count() == 2
+
+
+def test_one_json_object(spark, tmp_path):
+    import pytest
+
+    from trawl.sources import io
+
+    with pytest.raises(ValueError):
+        io.write_json_object(spark.range(2), str(tmp_path / "x"))

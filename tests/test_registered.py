@@ -8,10 +8,10 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-from trawl.plans import run_queries, text_queries  # noqa: E402
+from trawl.plans import report_queries, run_queries, text_queries  # noqa: E402
 
-MINE = text_queries.QUERIES | run_queries.QUERIES
-SQL = text_queries.ORACLES | run_queries.ORACLES
+MINE = text_queries.QUERIES | run_queries.QUERIES | report_queries.QUERIES
+SQL = text_queries.ORACLES | run_queries.ORACLES | report_queries.ORACLES
 
 
 def rows(columns, values):

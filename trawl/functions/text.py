@@ -6,14 +6,15 @@ letters, because that is what Python's ``\\s`` and ``\\w`` mean.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
-#: The character references that are decoded, the ampersand last.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
+#: What HTML 5 names, as the standard library lists it, without the semicolon.
+REFERENCES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
 #: Fixed value: a name in capitals of two to six characters.
 NAME = r"\b[A-Z][A-Z0-9\-]{1,5}\b"
 #: Fixed value: the instruction that goes before a query, not before a passage.
@@ -21,8 +22,29 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
 def strip_undecodable(content: Column) -> Column:
-    """Bytes as UTF-8 text, without what can't be decoded."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """Bytes as UTF-8 text, without what can't be decoded. A U+FFFD that the bytes spell stays."""
+    text = content.cast("string")
+    put = lambda c, *pairs: c if not pairs else put(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    # U+E000 marks what was U+FFFD before, U+E001 begins what stood for either mark
+    kept = F.make_valid_utf8(put(text, ("\ue001", "\ue001\ue003"), ("\ue000", "\ue001\ue002"), ("\ufffd", "\ue000")))
+    return F.when(F.is_valid_utf8(text), text).otherwise(put(kept, ("\ufffd", ""), ("\ue000", "\ufffd"), ("\ue001\ue002", "\ue000"), ("\ue001\ue003", "\ue001")))
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as what they stand for, each decoded once: HTML 5's names and decimal or hexadecimal numbers, with their semicolon. A number that is no character gives U+FFFD; what names nothing stays."""
+    names = F.from_json(F.lit(REFERENCES), "map<string,string>")
+
+    def piece(p: Column, i: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.when(ref.rlike("^#[xX]"), F.conv(ref.substr(F.lit(3), F.length(ref)), 16, 10)).otherwise(F.conv(ref.substr(F.lit(2), F.length(ref)), 10, 10))
+        n = digits.cast("long")
+        known = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        value = F.when(ref == "", None).when(ref.startswith("#"), char).otherwise(F.try_element_at(names, ref))
+        rest = p.substr(F.length(ref) + 2, F.length(p))
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), p)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -30,8 +52,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
-    return F.trim(F.regexp_replace(out, SPACE, " "))
+    return F.trim(F.regexp_replace(decode_references(out), SPACE, " "))
 
 
 def words(text: Column) -> Column:
@@ -180,6 +201,16 @@ def once(value: Column, empty: Column, use) -> Column:
     return F.aggregate(F.array(value), empty, lambda _, v: use(v))
 
 
+def greedy_match(prediction: Column, gold: Column) -> Column:
+    """precision, recall, f1 of two arrays of unit vectors, one for each token: every vector is matched with the most alike of the other side. Null where a side is empty; the vectors come from outside."""
+    def side(a: Column, b: Column) -> Column:
+        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+
+    p, r = side(prediction, gold), side(gold, prediction)
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).when((p + r).isNotNull(), 0.0).alias("f1"))
+
+
 def unit(vector: Column, epsilon: float = 0.0) -> Column:
     norm = F.sqrt(F.aggregate(doubles(vector), F.lit(0.0), lambda s, x: s + x * x)) + F.lit(epsilon)
     return once(norm, F.array().cast("array<double>"), lambda n: F.transform(doubles(vector), lambda x: x / n))

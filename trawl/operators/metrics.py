@@ -49,6 +49,22 @@ def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, recall: tup
     return rows.select("system", "qid", F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 9).alias("mrr_10"), *[share(_name("dcg", k, e), _name("idcg", k, e)).alias(_name("ndcg", k, e)) for k, e in cuts], *[share(f"hits_{k}", "n_gold").alias(f"recall_{k}") for k in recall])
 
 
+def ndcg_of_lists(run: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """qid, ndcg by another way than per_query(): each query's list of at most k grades is discounted as an array. For checking one against the other."""
+    gain = lambda grades: F.aggregate(F.transform(grades, lambda g, i: g / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
+    top = run.where(F.col("rank") <= k).join(qrels.select("qid", "chunk_id", "grade"), ["qid", "chunk_id"], "left")
+    listed = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("grade", F.lit(0)).cast("double").alias("g")))), lambda x: x["g"]).alias("found"))
+    best = qrels.withColumn("_p", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade")))).where(F.col("_p") <= k)
+    best = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.col("grade").cast("double")), asc=False).alias("best"))
+    rows = queries.select("qid").distinct().join(listed, "qid", "left").join(best, "qid", "left")
+    return rows.select("qid", F.round(F.coalesce(gain(F.col("found")) / gain(F.col("best")), F.lit(0.0)), 9).alias("ndcg"))
+
+
+def routed_means(per: DataFrame, routes: DataFrame) -> DataFrame:
+    """Means of each system over the queries that have a route alone: what routing changes where it acts."""
+    return means(per.join(routes.select("qid").distinct(), "qid", "left_semi"), "system")
+
+
 def means(per: DataFrame, *by: str) -> DataFrame:
     """Mean of each metric, by system or more."""
     names = [c for c in per.columns if c.split("_")[0] in ("mrr", "ndcg", "recall")]

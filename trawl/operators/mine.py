@@ -46,6 +46,36 @@ def in_filing_pairs(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.select("chunk_id", F.col("filing").alias("own")).join(own_filings(qrels, corpus), "own").select("qid", "chunk_id")
 
 
+def candidates(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, reach: int = 1) -> DataFrame:
+    """qid, chunk_id, score, kind: what may become a negative of a query, "in" its gold's filing or "cross" from another, without gold and what lies beside it."""
+    where = corpus.select("chunk_id", "filing", "chunk_idx")
+    own = own_filings(qrels, corpus)
+    banned = neighbours(qrels.join(where, "chunk_id"), reach).join(where, ["filing", "chunk_idx"]).select("qid", "chunk_id")
+    top = ranked(run.select("qid", "chunk_id", "score"), depth, "qid").join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
+    cross = top.where(F.col("filing") != F.col("own")).select("qid", "chunk_id", "score", F.lit("cross").alias("kind"))
+    inside = inside.select("qid", "chunk_id", "score", F.lit("in").alias("kind"))
+    return cut(cross.unionByName(inside).join(banned, ["qid", "chunk_id"], "left_anti"))
+
+
+def band_counters(found: DataFrame, qrels: DataFrame, corpus: DataFrame, band: float = 0.35) -> DataFrame:
+    """kind, n_candidates, n_dropped of candidates(): those that share `band` or more with gold, or have no content."""
+    rows = found.join(shares(found, qrels, corpus), ["qid", "chunk_id"], "left")
+    return rows.groupBy("kind").agg(F.count("*").alias("n_candidates"), F.count_if(F.coalesce(F.round("share", 9) >= band, F.lit(True))).alias("n_dropped"))
+
+
+def report(triples: DataFrame, n_in: int = 4, n_cross: int = 4) -> DataFrame:
+    """One row about mined triples: how many, the share of in-filing negatives, and how many are short of either kind."""
+    both = F.sum(F.col("n_in_filing") + F.col("n_cross_filing"))
+    return triples.agg(F.count("*").alias("n_rows"), F.round(F.sum("n_in_filing") / both, 6).alias("in_filing_share"), F.count_if(F.col("n_in_filing") < n_in).alias("short_in"), F.count_if(F.col("n_cross_filing") < n_cross).alias("short_cross"))
+
+
+def row_holdout(rows: DataFrame, key: str, n: int = 200) -> DataFrame:
+    """Adds side: "val" for the n rows whose keys have the least md5, else "train". Splits rows, so one question can be on both sides; for comparison with splits by question. The boundary is found by a top-n."""
+    mark = F.md5(F.col(key).cast("string").cast("binary"))
+    last = rows.select(mark.alias("_m")).orderBy("_m").limit(n).agg(F.max("_m").alias("_to"))
+    return rows.join(F.broadcast(last)).withColumn("side", F.when(mark <= F.col("_to"), "val").otherwise("train")).drop("_to")
+
+
 def banded(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, n_in: int = 4, n_cross: int = 4, band: float = 0.35, reach: int = 1) -> DataFrame:
     """qid, pos_id, negatives, n_in_filing, n_cross_filing: a row for each primary positive.
 
@@ -55,14 +85,7 @@ def banded(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFram
     global top `depth`, in-filing ones from the filing of the gold. Primary are
     grade-2 chunks, or all gold where there is none.
     """
-    where = corpus.select("chunk_id", "filing", "chunk_idx")
-    gold = qrels.join(where, "chunk_id")
-    own = own_filings(qrels, corpus)
-    banned = neighbours(gold, reach).join(where, ["filing", "chunk_idx"]).select("qid", "chunk_id")
-    top = ranked(run.select("qid", "chunk_id", "score"), depth, "qid").join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
-    cross = top.where(F.col("filing") != F.col("own")).select("qid", "chunk_id", "score", F.lit("cross").alias("kind"))
-    inside = inside.select("qid", "chunk_id", "score", F.lit("in").alias("kind"))
-    both = cut(cross.unionByName(inside).join(banned, ["qid", "chunk_id"], "left_anti"))
+    both = candidates(run, inside, qrels, corpus, depth, reach)
     kept = both.join(shares(both, qrels, corpus).where(F.round("share", 9) < band), ["qid", "chunk_id"])
     kept = ranked(kept, max(n_in, n_cross), "qid", "kind").where(((F.col("kind") == "in") & (F.col("rank") <= n_in)) | ((F.col("kind") == "cross") & (F.col("rank") <= n_cross)))
     order = F.struct((F.col("kind") == "cross").alias("k"), "rank")

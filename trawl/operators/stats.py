@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The published pairs of systems, by role.
+#: How many resamples, and the generator's seed.
 N_BOOT, SEED = 1000, 42
 
 

@@ -13,8 +13,9 @@ from trawl.sources import io
 from trawl.sources.store import cut
 
 DEPTH = 100
-SYSTEMS = ["dense", "half", "hybrid", "rerank@50"]
-PAIRS = [("dense", "half"), ("hybrid", "dense"), ("rerank@50", "half")]
+DEPTHS = (20, 50, 100)
+#: Nine comparisons: the scorers, fusion with each of them, reranking with what it ranks anew, and its depths.
+PAIRS = [("dense", "half"), ("hybrid", "dense"), ("hybrid", "half"), ("rerank@20", "half"), ("rerank@50", "half"), ("rerank@100", "half"), ("rerank@50", "hybrid"), ("rerank@50", "rerank@20"), ("rerank@100", "rerank@50")]
 
 CTE = {
     "q": "SELECT vec_id AS qid, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0",
@@ -23,7 +24,7 @@ CTE = {
     "half": "SELECT 'half' AS system, qid, chunk_id, hscore AS score, row_number() OVER (PARTITION BY qid ORDER BY round(hscore, 9) DESC, chunk_id) AS rank FROM sims",
     "fused": "SELECT qid, chunk_id, sum(1 / (60 + rank)) AS score FROM (SELECT qid, chunk_id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT qid, chunk_id, rank FROM half WHERE rank <= 100) GROUP BY ALL",
     "hybrid": "SELECT 'hybrid' AS system, qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fused",
-    "reranked": "SELECT 'rerank@50' AS system, half.qid, half.chunk_id, dense.score, row_number() OVER (PARTITION BY half.qid ORDER BY round(dense.score, 9) DESC, half.chunk_id) AS rank FROM half JOIN dense USING (qid, chunk_id) WHERE half.rank <= 50",
+    "reranked": "SELECT 'rerank@' || d AS system, half.qid, half.chunk_id, dense.score, row_number() OVER (PARTITION BY d, half.qid ORDER BY round(dense.score, 9) DESC, half.chunk_id) AS rank FROM half JOIN dense USING (qid, chunk_id), (SELECT unnest([20, 50, 100]) AS d) WHERE half.rank <= d",
     "runs": "SELECT * FROM dense WHERE rank <= 100 UNION ALL SELECT * FROM half WHERE rank <= 100 UNION ALL SELECT * FROM hybrid WHERE rank <= 100 UNION ALL SELECT * FROM reranked",
     "vq": "SELECT qid, vec_id AS chunk_id, CASE WHEN qid % 3 = vec_id % 3 THEN 2 ELSE 1 END AS grade FROM q JOIN embeddings USING (label) WHERE vec_id <> qid",
     "ideal": "SELECT qid, count(*) AS n_gold, sum(CASE WHEN p <= 10 THEN grade / log2(p + 1) END) AS i10, sum(CASE WHEN p <= 20 THEN grade / log2(p + 1) END) AS i20, sum(CASE WHEN p <= 10 THEN (2 ** grade - 1) / log2(p + 1) END) AS x10 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS p FROM vq) GROUP BY qid",
@@ -74,11 +75,9 @@ def pair_scores(run: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
 def all_runs(spark: SparkSession, sf: str) -> DataFrame:
     dense, half = dense_run(spark, sf), half_run(spark, sf)
     hybrid = retrieve.fuse(dense, half, k=DEPTH)
-    again = retrieve.rerank(half, pair_scores(retrieve.truncate(half, 50), spark, sf), 50)
-    out = None
-    for name, run in zip(SYSTEMS, (dense, half, hybrid, again), strict=True):
-        one = run.select(F.lit(name).alias("system"), "qid", "chunk_id", "score", "rank")
-        out = one if out is None else out.unionByName(one)
+    out = retrieve.depth_sweep(half, pair_scores(retrieve.truncate(half, max(DEPTHS)), spark, sf), DEPTHS).select("system", "qid", "chunk_id", "score", "rank")
+    for name, run in (("dense", dense), ("half", half), ("hybrid", hybrid)):
+        out = out.unionByName(run.select(F.lit(name).alias("system"), "qid", "chunk_id", "score", "rank"))
     return out
 
 
@@ -98,13 +97,22 @@ def dense_fusion(spark, sf):
     return retrieve.fuse(dense_run(spark, sf), half_run(spark, sf), k=DEPTH).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def routed_dense(spark, sf):
-    """Queries with an even id stay in the filing of their own vector; others search everywhere."""
+def vector_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """qid, filing: every second query is told the filing of its own vector."""
+    return vector_queries(spark, sf).where("qid % 100 = 0").select("qid", F.floor(F.col("qid") / 25).alias("filing"))
+
+
+def inside_scores(routes: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """qid, chunk_id, score of the vectors of each route's filing."""
     q, c = vector_queries(spark, sf), vectors(spark, sf)
-    fil = filings_of_vectors(spark, sf)
-    routes = q.where("qid % 100 = 0").select("qid", F.floor(F.col("qid") / 25).alias("filing"))
-    inside = c.join(fil, "chunk_id").join(routes.withColumnRenamed("qid", "q"), "filing").join(q.select(F.col("qid").alias("q"), F.col("embedding").alias("x")), "q").where("chunk_id <> q")
-    scores = inside.select(F.col("q").alias("qid"), "chunk_id", T.dot(F.col("x"), F.col("embedding")).alias("score"))
+    inside = c.join(filings_of_vectors(spark, sf), "chunk_id").join(routes.withColumnRenamed("qid", "q"), "filing").join(q.select(F.col("qid").alias("q"), F.col("embedding").alias("x")), "q").where("chunk_id <> q")
+    return inside.select(F.col("q").alias("qid"), "chunk_id", T.dot(F.col("x"), F.col("embedding")).alias("score"))
+
+
+def routed_dense(spark, sf):
+    """Queries with a route stay in its filing; others search everywhere."""
+    q, c, routes = vector_queries(spark, sf), vectors(spark, sf), vector_routes(spark, sf)
+    scores = inside_scores(routes, spark, sf)
     rest = retrieve.dense(q.join(routes, "qid", "left_anti"), c, 10).select("qid", "chunk_id", "score", "rank")
     return retrieve.ranked(scores, 10, "qid").unionByName(rest).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -194,11 +202,16 @@ def by_document(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("chunk_id", F.col("doc_id").alias("filing"), "chunk_idx", "text")
 
 
-def banded(spark: SparkSession, sf: str, depth: int = 200, **how) -> DataFrame:
+def mining_inputs(spark: SparkSession, sf: str, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(global run, scores within the filings of gold, qrels, corpus), over one stored index."""
     q, c, qrels = questions(spark, sf), by_document(spark, sf), cut(X.text_qrels(spark, sf))
     index = retrieve.keyword_index(c, lower_ascii_words)
     score = lambda k, pairs: retrieve.bm25(q, c, k, terms=lower_ascii_words, index=index, within=pairs)
-    return mine.banded(score(depth, None), score(None, mine.in_filing_pairs(qrels, c)), qrels, c, depth=depth, **how)
+    return score(depth, None), score(None, mine.in_filing_pairs(qrels, c)), qrels, c
+
+
+def banded(spark: SparkSession, sf: str, depth: int = 200, **how) -> DataFrame:
+    return mine.banded(*mining_inputs(spark, sf, depth), depth=depth, **how)
 
 
 def negatives_banded(spark, sf):
@@ -304,7 +317,7 @@ _MEANS = "count(*) AS n_queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for
 _FIRST = "f AS MATERIALIZED (SELECT q.qid, coalesce(min(rank) FILTER (vq.grade IS NOT NULL), 101) AS r, max(score) FILTER (vq.grade IS NOT NULL) AS g, max(score) FILTER (rank = 1) AS t FROM q LEFT JOIN (SELECT * FROM dense WHERE rank <= 100) d ON d.qid = q.qid LEFT JOIN vq ON vq.qid = d.qid AND vq.chunk_id = d.chunk_id GROUP BY q.qid)"
 
 
-def _banded(depth: int, n_in: int, n_cross: int, band: float) -> str:
+def _banded(depth: int, n_in: int, n_cross: int, band: float, last: str = "SELECT * FROM mined") -> str:
     parts = {
         "own": "SELECT qid, min(doc_id) AS own FROM gold GROUP BY qid",
         "banned": "SELECT DISTINCT g.qid, c.chunk_id FROM gold g JOIN chunks c ON c.doc_id = g.doc_id AND abs(c.chunk_idx - g.chunk_idx) <= 1",
@@ -315,8 +328,9 @@ def _banded(depth: int, n_in: int, n_cross: int, band: float) -> str:
         "kept": f"SELECT * FROM (SELECT qid, chunk_id, kind, row_number() OVER (PARTITION BY qid, kind ORDER BY round(score, 9) DESC, chunk_id) AS r FROM cand JOIN share USING (qid, chunk_id) WHERE round(share, 9) < {band}) WHERE r <= CASE WHEN kind = 'in' THEN {n_in} ELSE {n_cross} END",
         "lists": "SELECT qid, list(chunk_id ORDER BY kind = 'cross', r) AS negatives, count(*) FILTER (kind = 'in') AS n_in_filing, count(*) FILTER (kind = 'cross') AS n_cross_filing FROM kept GROUP BY qid",
     }
+    parts["mined"] = "SELECT qid, chunk_id AS pos_id, negatives, n_in_filing, n_cross_filing FROM (SELECT *, bool_or(grade = 2) OVER (PARTITION BY qid) AS has2 FROM qrels) JOIN lists USING (qid) WHERE grade = 2 OR NOT has2"
     more = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in parts.items())
-    return _with(sql("@SELECT qid, chunk_id AS pos_id, negatives, n_in_filing, n_cross_filing FROM (SELECT *, bool_or(grade = 2) OVER (PARTITION BY qid) AS has2 FROM qrels) JOIN lists USING (qid) WHERE grade = 2 OR NOT has2", "bm_ranked", "gold"), more)
+    return _with(sql("@" + last, "bm_ranked", "gold"), more)
 
 
 def _with(query: str, more: str) -> str:

@@ -60,11 +60,11 @@ def gold_sets(qrels: DataFrame) -> DataFrame:
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """system, qid, chunk_id, rank, score of one TREC file or a folder of them; the system is the file's stem with @ for _at_. Ranks are made anew by (rank, chunk_id)."""
+    """system, qid, chunk_id, rank, score of one TREC file, a folder of them or what write_run() wrote; the system is the file's stem, or the name of write_run()'s folder, with @ for _at_. Ranks are made anew by (rank, chunk_id)."""
     from pyspark.sql import Window
 
     lines = spark.read.schema(schemas.RUN_LINES).option("sep", " ").csv(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    stem = F.col("system").cast("string") if "system" in lines.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     lines = lines.select(F.replace(stem, F.lit("_at_"), F.lit("@")).alias("system"), "qid", "chunk_id", "rank", "score")
     order = Window.partitionBy("system", "qid").orderBy("rank", "chunk_id")
     return lines.withColumn("rank", F.row_number().over(order))
@@ -94,6 +94,31 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
     named.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def write_json_object(row: DataFrame, path: str) -> None:
+    """One JSON object: of a table with one row, such as statistics or a split. Another number of rows is an error."""
+    if len(row.take(2)) != 1:
+        raise ValueError("a JSON object is made of exactly one row")
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str, key: str, metrics: list[str]) -> DataFrame:
+    """key, metric, value of result tables in JSON, a line or object for each system."""
+    fields = ", ".join([f"`{key}` string", *[f"`{m}` double" for m in metrics]])
+    return unpivot_metrics(spark.read.schema(fields).json(path), key, metrics)
+
+
+def split_object(sides: DataFrame, seed: int, test_frac: float) -> DataFrame:
+    """One row as a frozen split is kept: seed, test_frac, train, test, names in order. Names of filings, so a list of them fits a row."""
+    names = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("filing")))).alias(s)
+    return sides.agg(F.lit(seed).cast("long").alias("seed"), F.lit(test_frac).cast("double").alias("test_frac"), names("train"), names("test"))
+
+
+def split_sides(frozen: DataFrame) -> DataFrame:
+    """filing, side of a frozen split."""
+    side = lambda s: frozen.select(F.explode(s).alias("filing"), F.lit(s).alias("side"))
+    return side("train").unionByName(side("test"))
+
+
 def unpivot_metrics(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return df.unpivot(key, metrics, "metric", "value")
 
@@ -121,10 +146,15 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def unfinished(todo: DataFrame, spark: SparkSession, path: str, *by: str) -> DataFrame:
     """The rows whose partitions aren't written yet; all if there is nothing."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return todo
     done = spark.read.parquet(path).select(*by).distinct()
     return todo.join(done, list(by), "left_anti")

@@ -38,4 +38,25 @@ OP10 = """WITH p AS MATERIALIZED (SELECT page_id, url, coalesce(html, '') AS htm
 n AS (SELECT *, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', s[i]) - 1) AS v, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v[5 * i // 4 + 1] * 16 + coalesce(v[5 * i // 4 + 2], 0)) >> (3 - 5 * i % 4)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, coalesce(url, '') AS url FROM n"""
 
-ORACLES = {"op2_embedding_near_dedup": OP2, "op6_quality_rules": OP6, "op8_mixing": OP8, "op10_warc": OP10}
+_SAID = "'[^\\x20\\x09-\\x0D]'"
+
+OP11 = f"""WITH RECURSIVE crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) x(i))),
+named AS MATERIALIZED (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) % 20 AS d FROM named, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE d <> 0),
+seen AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+fault AS MATERIALIZED (SELECT conv_id, turn, role, text, i, role[1:1] AS initial, before[1:1] AS before, CASE WHEN NOT regexp_matches(text, {_SAID}) THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS f FROM seen),
+ins(a, b, cost, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (3, 2, 2, 'I'), (2, 3, 2, 'I'), (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+moves(a, b, r) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+edits AS MATERIALIZED (SELECT conv_id, i, a, b, CASE WHEN r = initial THEN 0 ELSE 2 END + CASE WHEN f = 't' THEN 1 ELSE 0 END AS cost, CASE WHEN r = initial THEN 'K' ELSE 'R' END AS letter FROM fault JOIN moves ON r = initial OR r <> 's' WHERE f NOT IN ('b', 'd') UNION ALL SELECT conv_id, i, s, s, 3, 'D' FROM fault, range(4) x(s)),
+best AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, {{'c': 0, 'a': ''}} AS v FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT best.conv_id, best.i + 1, edits.b, min({{'c': v.c + ins.cost + edits.cost, 'a': v.a || ins.letters || edits.letter}}) FROM best JOIN ins ON ins.a = s JOIN edits ON edits.conv_id IS NOT DISTINCT FROM best.conv_id AND edits.i = best.i + 1 AND edits.a = ins.b GROUP BY ALL),
+ends AS MATERIALIZED (SELECT conv_id, min({{'c': v.c + cost, 'a': v.a || letters}}) AS v FROM best JOIN ins ON ins.a = s AND ins.b IN (0, 3) WHERE i = coalesce((SELECT max(i) FROM fault WHERE fault.conv_id IS NOT DISTINCT FROM best.conv_id), 0) GROUP BY conv_id),
+steps AS (SELECT conv_id, v.a AS audit, unnest(range(1, length(v.a) + 1)) AS p FROM ends),
+marks AS (SELECT conv_id, p, audit[p] AS e, p - length(replace(audit[1:p], 'I', '')) AS put, length(replace(audit[1:p], 'I', '')) AS i, length(replace(audit[1:p], 'D', '')) AS o FROM steps),
+made AS (SELECT m.conv_id, p, o, CASE WHEN e <> 'I' THEN text ELSE '' END AS text, CASE WHEN e = 'K' THEN role END AS role, max(CASE WHEN e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS shift FROM marks m LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i WHERE e <> 'D'),
+said AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p) AS said FROM made GROUP BY conv_id),
+sums AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, v.c::BIGINT AS cost, v.a AS audit, sha256(coalesce(said, '')) AS repaired_sha256 FROM ends LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ends.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM ends.conv_id"""
+
+ORACLES = {"op2_embedding_near_dedup": OP2, "op6_quality_rules": OP6, "op8_mixing": OP8, "op10_warc": OP10, "op11_conversation_repair": OP11}

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm.common import small_batches, table
+from trawl.llm.conversations import repaired_conversations
 from trawl.llm.embeddings import near_vectors
 from trawl.llm.extraction import main_text
 from trawl.llm.licenses import license_scan
@@ -67,6 +68,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query that lowers the rows of Arrow batches before it plans."""
 
@@ -78,6 +83,6 @@ def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: registered(f) for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: registered(f) for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc, op11_conversation_repair)}
 
 __all__ = ["ORACLES", "QUERIES"]

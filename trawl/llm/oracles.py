@@ -59,4 +59,17 @@ said AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN (o - shift) % 2 = 1
 sums AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id)
 SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, v.c::BIGINT AS cost, v.a AS audit, sha256(coalesce(said, '')) AS repaired_sha256 FROM ends LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ends.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM ends.conv_id"""
 
-ORACLES = {"op2_embedding_near_dedup": OP2, "op6_quality_rules": OP6, "op8_mixing": OP8, "op10_warc": OP10, "op11_conversation_repair": OP11}
+_TERMS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP13 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format("text")} AS terms FROM documents),
+c AS MATERIALIZED (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM d),
+m AS (SELECT row, doc_id, 25 + (75 * len(terms) * docs) // total AS m FROM d, c WHERE len(terms) > 0),
+i AS (SELECT row_number() OVER () AS number, item_id, {_TERMS.format("text")} AS terms FROM benchmark),
+q AS MATERIALIZED (SELECT number, item_id, term, count(*) AS times FROM (SELECT number, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+p AS MATERIALIZED (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT number, item_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY ALL),
+r AS (SELECT number, item_id, doc_id, score, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN m USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+ORACLES = {"op2_embedding_near_dedup": OP2, "op6_quality_rules": OP6, "op8_mixing": OP8, "op10_warc": OP10, "op11_conversation_repair": OP11, "op13_lexical_search": OP13}

@@ -11,11 +11,13 @@ from trawl.llm.common import small_batches, table
 from trawl.llm.conversations import repaired_conversations
 from trawl.llm.embeddings import near_vectors
 from trawl.llm.extraction import main_text
+from trawl.llm.language import language_id
 from trawl.llm.licenses import license_scan
 from trawl.llm.mixing import mix
 from trawl.llm.oracles import ORACLES
 from trawl.llm.packing import pack_documents
 from trawl.llm.quality import quality
+from trawl.llm.search import ranked_search
 from trawl.llm.simhash import near_duplicates
 from trawl.llm.tokens import token_counts
 from trawl.llm.toxicity import toxicity
@@ -72,6 +74,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query that lowers the rows of Arrow batches before it plans."""
 
@@ -83,6 +93,6 @@ def registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: registered(f) for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc, op11_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: registered(f) for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_token_counts, op4_simhash_near_dedup, op5_toxicity, op6_quality_rules, op7_license_scan, op8_mixing, op9_html_extraction, op10_warc, op11_conversation_repair, op12_language_id, op13_lexical_search)}
 
 __all__ = ["ORACLES", "QUERIES"]

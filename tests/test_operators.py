@@ -218,7 +218,7 @@ def test_dense_blocks(spark):
     x = g.normal(size=(60, 8))
     df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "chunk_id long, embedding array<double>")
     q = df.where("chunk_id < 7").withColumnRenamed("chunk_id", "qid")
-    got = {(r.qid, r.rank): r.chunk_id for r in retrieve.dense(q, df, 5, query_rows=3, corpus_rows=7).collect()}
+    got = {(r.qid, r.rank): r.chunk_id for r in retrieve.dense(q, df, 5).collect()}
     for i in range(7):
         s = x @ x[i]
         s[i] = -np.inf

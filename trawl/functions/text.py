@@ -15,11 +15,32 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 #: What HTML 5 names, as the standard library lists it, without the semicolon.
 REFERENCES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+#: Those that may lack the semicolon, longer names first, and what the numbers 128 to 159 stand for.
+BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+#: What follows a tag's name, up to the > that isn't in a quoted value; quotes are heeded in the first 100 values of a tag.
+ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+[^>=]*+){0,100}+[^>]*+(?:>|\z)"""
+#: A comment, a script or style with what is in it, or a tag; what isn't closed goes to the end. Nothing is looked at twice.
+MARKUP = rf"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))|(script|style)(?=[\s/>]|\z){ATTRIBUTES}.*?(?:</\1(?=[\s/>]|\z)[^>]*+(?:>|\z)|\z)|[/!?a-z]{ATTRIBUTES})"
 #: Fixed value: a name in capitals of two to six characters.
 NAME = r"\b[A-Z][A-Z0-9\-]{1,5}\b"
 #: Fixed value: the instruction that goes before a query, not before a passage.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
+#: Fixed value: English words that carry no subject, by kind. Another list is a parameter; Spark ships some in StopWordsRemover.loadDefaultStopWords().
+ENGLISH_STOP_WORDS = [
+    *"a an the this that these those".split(),
+    *"i me my mine myself we us our ours ourselves you your yours yourself yourselves".split(),
+    *"he him his himself she her hers herself it its itself they them their theirs themselves".split(),
+    *"who whom whose which what when where why how".split(),
+    *"and or but nor so yet if then else because as until while although though whether than".split(),
+    *"of at by for with about against between among into through during before after above below to from up down in out on off over under upon toward towards within without across along around behind beside besides beyond per via".split(),
+    *"am is are was were be been being have has had having do does did doing done".split(),
+    *"can could may might must shall should will would cannot".split(),
+    *"not no none neither never only just also too very more most much many some any each every either both all other another others such same own few less least several".split(),
+    *"here there again further once now always often however therefore thus hence".split(),
+]
+
 
 def strip_undecodable(content: Column) -> Column:
     """Bytes as UTF-8 text, without what can't be decoded. A U+FFFD that the bytes spell stays."""
@@ -31,28 +52,30 @@ def strip_undecodable(content: Column) -> Column:
 
 
 def decode_references(text: Column) -> Column:
-    """Character references as what they stand for, each decoded once: HTML 5's names and decimal or hexadecimal numbers, with their semicolon. A number that is no character gives U+FFFD; what names nothing stays."""
+    """Character references as what they stand for, each decoded once: HTML 5's names and decimal or hexadecimal numbers. Numbers and the old names may lack the semicolon; of the latter the longest that fits counts. A number that is no character gives U+FFFD; what names nothing stays."""
     names = F.from_json(F.lit(REFERENCES), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        digits = F.when(ref.rlike("^#[xX]"), F.conv(ref.substr(F.lit(3), F.length(ref)), 16, 10)).otherwise(F.conv(ref.substr(F.lit(2), F.length(ref)), 10, 10))
-        n = digits.cast("long")
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(p, f"^({BARE})", 1)
+        number = F.regexp_extract(p, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        dec, hexa = F.regexp_extract(p, r"^#0*([0-9]*)", 1), F.regexp_extract(p, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+        # more digits than these are beyond all characters
+        n = F.when(p.rlike("^#[xX]"), F.when(F.length(hexa) <= 6, F.conv(hexa, 16, 10))).otherwise(F.when(F.length(dec) <= 7, F.conv(dec, 10, 10))).cast("long")
         known = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-        char = F.when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        value = F.when(ref == "", None).when(ref.startswith("#"), char).otherwise(F.try_element_at(names, ref))
-        rest = p.substr(F.length(ref) + 2, F.length(p))
+        char = F.when(n.between(128, 159), F.substring(F.lit(WINDOWS), n.cast("int") - 127, F.lit(1))).when(known, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named_ = F.when(name != "", F.try_element_at(names, name))
+        value = F.when(number != "", char).when(named_.isNotNull(), named_).when(bare != "", F.try_element_at(names, bare))
+        taken = F.when(number != "", F.length(number)).when(named_.isNotNull(), F.length(name) + 1).otherwise(F.length(bare))
+        rest = p.substr(taken + 1, F.length(p))
         return F.when(i == 0, p).otherwise(F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), p)))
 
     return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
-    """Text nodes joined by one blank: no scripts, styles, comments or tags."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(decode_references(out), SPACE, " "))
+    """Text nodes joined by one blank: no scripts, styles, comments or tags. A > in a quoted value ends no tag, and a < before anything but a letter, /, ! or ? begins none."""
+    return F.trim(F.regexp_replace(decode_references(F.regexp_replace(html, MARKUP, " ")), SPACE, " "))
 
 
 def words(text: Column) -> Column:
@@ -83,7 +106,8 @@ def content_tokens(text: Column) -> Column:
 
 
 def analysed(text: Column, stop: list[str] | None = None, bigrams: bool = True) -> Column:
-    """Terms of the weighted index: word tokens of two characters or more without stop words, and pairs of neighbours."""
+    """Terms of the weighted index: word tokens of two characters or more without stop words (English ones, unless a list is given), and pairs of neighbours among what is left."""
+    stop = ENGLISH_STOP_WORDS if stop is None else stop
     one = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
     if stop:
         one = F.filter(one, lambda w: ~w.isin(stop))

@@ -69,15 +69,20 @@ def pick(evidence: Counter, candidates: list[tuple], target: float) -> tuple[lis
 def union_coverage(scores: DataFrame, refs: DataFrame, corpus: DataFrame, resolved: DataFrame, top: int = 40, target: float = 0.80, high: float = 0.50) -> DataFrame:
     """qid, ref, chunk_id, gain, total, step, grade: chunks of the resolved filing that together cover a reference.
 
-    refs: (ref, qid, text); corpus: (chunk_id, filing, text); ambiguous
+    scores: (ref, chunk_id, score) above 0 of the best `top` chunks at least in
+    each reference's resolved filing; those without a score follow in order of
+    id. refs: (ref, qid, text); corpus: (chunk_id, filing, text); ambiguous
     questions are left out. A group is one reference with at most `top`
     candidates, so its size is bounded.
     """
     clear = resolved.where(~F.col("ambiguous")).select("qid", "filing")
-    mine = refs.select("ref", "qid", "text").join(clear, "qid")
+    mine = refs.select("ref", "qid").join(clear, "qid")
     inside = corpus.select("chunk_id", "filing")
-    near = mine.select("ref", "qid", "filing").join(inside, "filing").join(scores, ["ref", "chunk_id"], "left").select("ref", "qid", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    near = ranked(near, top, "ref").join(corpus.select("chunk_id", tokens(F.col("text")).alias("c")), "chunk_id")
+    scored = ranked(scores.join(inside, "chunk_id").join(mine, ["ref", "filing"]).select("ref", "qid", "chunk_id", "score"), top, "ref")
+    first = inside.withColumn("_n", F.row_number().over(Window.partitionBy("filing").orderBy("chunk_id"))).where(F.col("_n") <= top).drop("_n")
+    short = mine.join(scored.groupBy("ref").agg(F.count("*").alias("_s")), "ref", "left").where(F.coalesce("_s", F.lit(0)) < top)
+    more = short.join(first, "filing").join(scored.select("ref", "chunk_id"), ["ref", "chunk_id"], "left_anti").select("ref", "qid", "chunk_id", F.lit(0.0).alias("score"))
+    near = ranked(scored.drop("rank").unionByName(more), top, "ref").join(corpus.select("chunk_id", tokens(F.col("text")).alias("c")), "chunk_id")
     groups = near.groupBy("ref", "qid").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "c"))).alias("cand")).join(refs.select("ref", tokens(F.col("text")).alias("e")), "ref")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,15 +6,14 @@ doesn't depend on the order of additions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import lower_words
+from trawl.operators import nearest
+from trawl.operators.blockmax import TermIndex, bm25_impact, hits, search, term_index, unit_impact
 from trawl.sources.store import cut
 
 
@@ -43,101 +42,113 @@ def bm25_idf(stats: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-class KeywordIndex(NamedTuple):
-    """postings: chunk_id, term, dl, tf; idf: term, idf; n chunks of avgdl terms on average."""
-
-    postings: DataFrame
-    idf: DataFrame
-    n: int
-    avgdl: float
+def all_scores(index: TermIndex, wanted: DataFrame, idf: DataFrame, pairs: DataFrame | None, k1: float, b: float) -> DataFrame:
+    """qid, chunk_id, score of given pairs, or of all that share a term: as many rows as there are such pairs."""
+    rows = index.rows.select("chunk_id", "dl", "terms", "counts")
+    if pairs is not None:
+        rows = rows.join(pairs.select("qid", "chunk_id").distinct(), "chunk_id")
+    post = rows.select(*rows.columns[:2], *rows.columns[4:], F.explode(F.arrays_zip("terms", "counts")).alias("p")).withColumn("term", F.col("p.terms")).withColumn("tf", F.col("p.counts"))
+    hit = post.join(wanted, "term" if pairs is None else ["qid", "term"])
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    return hit.join(idf, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def keyword_index(corpus: DataFrame, terms=lower_words) -> KeywordIndex:
-    """The terms of each chunk, found once and stored; statistics and joins read that. chunk_id is a key."""
-    rows = corpus.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    post = cut(rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
-    size = corpus.agg(F.count("*").alias("n"), F.count("text").alias("texts")).first()
-    total = post.agg(F.sum("tf")).first()[0] or 0
-    return KeywordIndex(post, bm25_idf(term_stats(post), size["n"]), size["n"], total / max(size["texts"], 1))
+def bm25_search(queries: DataFrame, index: TermIndex, k: int, k1: float = 1.5, b: float = 0.75, terms=lower_words, within: DataFrame | None = None) -> DataFrame:
+    """blockmax.search() for the keyword score."""
+    wanted = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    weights = wanted.join(bm25_idf(index.stats, index.n), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    return search(index, weights, k, bm25_impact(index.avgdl, k1, b), float("-inf"), within=within)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, terms=lower_words, index: KeywordIndex | None = None, within: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, terms=lower_words, index: TermIndex | None = None, pairs: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, score, rank. A query's repeated term counts each time.
 
-    Corpus statistics cover all terms; only postings of the queries' terms go
-    on to the join. Chunks without any of them aren't ranked. within: pairs
-    (qid, chunk_id) that alone are scored, found by chunk before by term.
+    Statistics cover all terms of the corpus. Chunks without any of a query's
+    terms aren't ranked. The k best come from blocks with upper bounds. within:
+    (qid, grp), queries that look only at the chunks of one group, if the index
+    has groups. pairs: (qid, chunk_id) that alone are scored, all of them; so
+    are all pairs that share a term for k None.
     """
-    index = index or keyword_index(corpus, terms)
+    index = index or term_index(corpus, terms)
+    if k is not None and pairs is None:
+        return ranked(hits(bm25_search(queries, index, k, k1, b, terms, within)), k, "qid")
     wanted = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    tf = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    if within is None:
-        hit = tf.join(wanted, "term")
-    else:
-        hit = tf.join(within.select("qid", "chunk_id").distinct(), "chunk_id").join(wanted, ["qid", "term"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
-    return ranked(hit.join(index.idf, "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")), k, "qid")
+    return ranked(all_scores(index, wanted, bm25_idf(index.stats, index.n), pairs, k1, b), k, "qid")
 
 
-def vocabulary(post: DataFrame, most: int) -> DataFrame:
+def vocabulary(stats: DataFrame, most: int) -> DataFrame:
     """The terms that a weighted index keeps: those that occur most, ties by code point."""
-    return term_stats(post).orderBy(F.desc("cf"), "term").limit(most)
+    return stats.orderBy(F.desc("cf"), "term").limit(most)
+
+
+def rarity(n_docs: int) -> Column:
+    """What a term counts more the fewer documents have it."""
+    return F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
 
 
 def tfidf(post: DataFrame, stats: DataFrame, n_docs: int, id_col: str) -> DataFrame:
     """id, term, w: tf * (ln((1 + N) / (1 + df)) + 1), each id's to length 1. Terms without statistics are dropped."""
-    w = post.join(stats.select("term", "df"), "term").select(id_col, "term", (F.col("tf") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
+    w = post.join(stats.select("term", "df"), "term").select(id_col, "term", (F.col("tf") * rarity(n_docs)).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_by_terms(queries: DataFrame, corpus: DataFrame, terms, most: int = 200_000, query_key: str = "ref") -> DataFrame:
-    """query key, chunk_id, score for pairs that share a term, that is with a score above 0."""
-    post = cut(postings(corpus, "chunk_id", terms(F.col("text"))))
-    stats = cut(vocabulary(post, most))
-    n = corpus.count()
-    q = tfidf(postings(queries, query_key, terms(F.col("text"))), stats, n, query_key).withColumnRenamed("w", "qw")
-    # norms need all of a chunk's terms; the join only those of the queries
-    d = tfidf(post, stats, n, "chunk_id").join(q.select("term").distinct(), "term", "left_semi")
-    return d.join(q, "term").groupBy(query_key, "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+class Weighted(NamedTuple):
+    """queries: qid, term, w, to length 1; index; stats of the terms that the index keeps."""
 
+    queries: DataFrame
+    index: TermIndex
+    stats: DataFrame
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, name: str, n: int) -> DataFrame:
-    many = max(1, -(-n // rows))
-    block = F.pmod(F.xxhash64(id_col), F.lit(many)).alias("_b")
-    return df.select(block, F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("r")).groupBy("_b").agg(F.collect_list("r").alias(name)).drop("_b")
 
+def weigh(queries: DataFrame, index: TermIndex, terms, most: int = 200_000, query_key: str = "ref") -> Weighted:
+    """Both sides of a weighted comparison; the index keeps the `most` commonest terms."""
+    stats = cut(vocabulary(index.stats, most))
+    q = tfidf(postings(queries.withColumnRenamed(query_key, "qid"), "qid", terms(F.col("text"))), stats, index.n, "qid")
+    return Weighted(cut(q), index, stats)
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int, vector_col: str = "embedding", query_rows: int = 512, corpus_rows: int = 4096, same: bool = False) -> DataFrame:
-    """qid, chunk_id, score, rank: exact inner products, block by block.
 
-    Queries and corpus are cut into blocks of bounded size; each pair of blocks
-    is one matrix product whose k best per query go on. Ids are long. With
-    same=False a vector isn't found for the query of its own id.
+def cosine_topk(sides: Weighted, k: int, query_key: str = "ref", least: float = 0.0, within: DataFrame | None = None) -> DataFrame:
+    """query key, chunk_id, score of the k best chunks by cosine, above 0 and from `least` on; within as in search(), its key named alike."""
+    factors = sides.stats.select("term", rarity(sides.index.n).alias("factor"))
+    inside = None if within is None else within.withColumnRenamed(query_key, "qid")
+    found = hits(search(sides.index, sides.queries, k, unit_impact, least, factors, inside))
+    return ranked(found, k, "qid").select(F.col("qid").alias(query_key), "chunk_id", "score")
+
+
+def rare_terms(sides: Weighted, least: float) -> DataFrame:
+    """qid, term: of each query all but its commonest terms, as many as together can't give a cosine of `least`, since a chunk's vector has length 1."""
+    order = Window.partitionBy("qid").orderBy(F.desc("df"), "term")
+    rows = sides.queries.join(sides.stats.select("term", "df"), "term").withColumn("upto", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.where(F.sqrt("upto") >= least - 1e-9).select("qid", "term")
+
+
+def cosine_pairs(sides: Weighted, least: float, query_key: str = "ref") -> DataFrame:
+    """query key, chunk_id, score of all pairs with a cosine of `least` or more (above 0).
+
+    A prefix filter: pairs that share a rare term of the query are candidates,
+    and no others can have that cosine; candidates are scored with all terms.
+    """
+    prefix = cut(rare_terms(sides, least))
+    rows = sides.index.rows
+    rare = rows.select("chunk_id", F.explode("terms").alias("term")).join(prefix.select("term").distinct(), "term", "left_semi")
+    pairs = cut(rare.join(prefix, "term").select("qid", "chunk_id").distinct())
+    met = rows.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    post = met.select("chunk_id", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+    d = tfidf(post, sides.stats, sides.index.n, "chunk_id")
+    # norms need all of a chunk's terms, the join only those of the queries
+    mine = d.join(sides.queries.select("term").distinct(), "term", "left_semi").join(pairs, "chunk_id").join(sides.queries.withColumnRenamed("w", "qw"), ["qid", "term"])
+    scores = mine.groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    return scores.where(F.round("score", 9) >= least).select(F.col("qid").alias(query_key), "chunk_id", "score")
+
+
+def dense(queries: DataFrame, corpus: DataFrame | None, k: int, vector_col: str = "embedding", same: bool = False, index: nearest.VectorIndex | None = None) -> DataFrame:
+    """qid, chunk_id, score, rank: exact inner products over blocks with upper bounds, of a stored index or of a corpus as it is read.
+
+    With same=False a vector isn't found for the query of its own id.
     """
-    q = _blocks(queries, "qid", vector_col, query_rows, "q", queries.count())
-    c = _blocks(corpus, "chunk_id", vector_col, corpus_rows, "c", corpus.count())
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def part(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            flat = column.flatten()
-            ids, v = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1)
-            return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, qv = part(b.column(0).slice(i, 1))
-                ci, cv = part(b.column(1).slice(i, 1))
-                s = qv @ cv.T
-                if not same:
-                    s[qi[:, None] == ci] = -np.inf
-                # one more than k would do but for ties in the ninth digit; those are kept
-                cut = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                r, col = np.nonzero((s >= cut[:, None] - 1e-8) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(ci[col]), pa.array(s[r, col])], ["qid", "chunk_id", "score"])
-
-    pairs = q.join(c).repartition(max(2, queries.sparkSession.sparkContext.defaultParallelism))
-    return ranked(pairs.mapInArrow(product, "qid long, chunk_id long, score double"), k, "qid")
+    index = index or nearest.vector_index(corpus, vector_col, stored=False)
+    return ranked(nearest.hits(nearest.search(queries, index, k, vector_col, same)), k, "qid")
 
 
 def fuse(*runs: DataFrame, k: int | None = None, rrf_k: int = 60) -> DataFrame:

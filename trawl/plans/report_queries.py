@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.operators import chunk, label, metrics, mine, retrieve, select, split
+from trawl.operators import chunk, label, metrics, mine, retrieve, select, split, subword
 from trawl.plans import run_queries as R
 from trawl.plans import text_queries as X
 from trawl.plans.stages import Stage, run_stages
@@ -16,8 +16,8 @@ from trawl.plans.tables import chunks, load, questions, vector_qrels, vector_que
 from trawl.sources import io, schemas
 from trawl.sources.store import shared_dir
 
-#: The parameter that weighted_pairs gives to the weighted index.
-STOP = ["the", "and", "of", "to", "in", "is", "for", "on", "with", "that", "der", "die", "und", "les", "des", "los", "que"]
+#: What weighted_pairs leaves out.
+STOP = T.ENGLISH_STOP_WORDS
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -131,6 +131,13 @@ def undecodable_bytes(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.strip_undecodable(broken).alias("text"))
 
 
+def html_hostile(spark, sf):
+    """Texts between markup that a pattern of <, anything and > would get wrong."""
+    clean = F.regexp_replace("text", "[<&]", " ")
+    before, behind = "<p title=\"a>b\" alt='1>0' x=y>", "</p><!-- <b> > --><SCRIPT type=\"a>b\">if (a < b) \"</p>\"</script > &eacute b<br/>&copy 1 &#150; 2 < 3<style>p > a"
+    return load(spark, sf, "documents").select("doc_id", T.html_to_text(F.concat(F.lit(before), clean, F.lit(behind))).alias("text"))
+
+
 def references_decoded(spark, sf):
     coded = F.concat(F.lit("&lt;&#8364;&#x41;&eacute;&amp;amp;&nothing;&"), F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")))
     return load(spark, sf, "documents").select("doc_id", T.decode_references(coded).alias("text"))
@@ -147,10 +154,35 @@ def token_windows(spark, sf):
     return out.select("doc_id", "chunk_idx", "text", F.col("n_words").alias("n_tokens"))
 
 
+def ranks() -> subword.Ranks:
+    """The vocabulary that the sub-word queries use, a public file; another one is a parameter."""
+    import public_tokenizers
+
+    return subword.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def subword_lengths(spark, sf):
+    return subword.subword_lengths(load(spark, sf, "documents").select("doc_id", "text"), ranks())
+
+
+def subword_windows(spark, sf):
+    """Windows of 448 sub-word tokens, each sharing 112 with the one before, as the text has them."""
+    return subword.subword_windows(load(spark, sf, "documents").select("doc_id", "text"), ranks())
+
+
+def subword_clipped(spark, sf):
+    return subword.clip_subwords(load(spark, sf, "documents").select("doc_id", "text"), ranks())
+
+
+def subword_ratio(spark, sf):
+    out = subword.tokens_per_word(load(spark, sf, "documents"), ranks(), T.word_count(F.col("text")))
+    return out.select(F.round("tokens_per_word", 6).alias("tokens_per_word"))
+
+
 def weighted_pairs(spark, sf):
     """tfidf_align over words without stop words and pairs of neighbours, the vocabulary capped."""
-    scores = retrieve.cosine_by_terms(questions(spark, sf).withColumnRenamed("qid", "ref"), chunks(spark, sf), lambda c: T.analysed(c, STOP))
-    return label.align(scores).select("ref", "chunk_id", F.round("score", 6).alias("score"))
+    sides = retrieve.weigh(questions(spark, sf).withColumnRenamed("qid", "ref"), retrieve.term_index(chunks(spark, sf), T.analysed), T.analysed)
+    return label.align(retrieve.cosine_pairs(sides, 0.30)).select("ref", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # --- filters, labels, splits ---------------------------------------------------
@@ -289,6 +321,7 @@ ORACLES = {
     "loss_points": "SELECT r_name AS model, CASE WHEN n_nationkey < 15 THEN 'train' ELSE 'val' END AS series, CAST(n_nationkey AS BIGINT) AS step, length(n_name)::DOUBLE AS loss FROM nation JOIN region ON n_regionkey = r_regionkey",
     "prediction_rows": "SELECT CAST(conv_id AS VARCHAR) AS model, CAST(turn AS VARCHAR) AS qid, text AS gold, unnest(['base', 'qlora']) AS system, unnest([substring(text, 1, 20), 'A: ' || text]) AS prediction FROM conversations",
     "undecodable_bytes": "SELECT doc_id, 'A' || text || chr(65533) AS text FROM documents",
+    "html_hostile": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[<&]', ' ', 'g'), '[\\s\\x0B\\p{Z}]+', ' ', 'g') || ' é b © 1 – 2 < 3') AS text FROM documents",
     "references_decoded": "SELECT doc_id, '<€Aé&amp;&nothing;&' || text AS text FROM documents",
     "model_slugs": "SELECT lower(lang) || '-0-5-' || lower(source) AS slug, count(*) AS n FROM documents GROUP BY ALL",
     "token_windows": "SELECT doc_id, CAST(i // 336 AS INTEGER) AS chunk_idx, CASE WHEN len(t) <= 448 THEN text ELSE array_to_string(t[i + 1:i + 448], ' ') END AS text, CAST(len(t[i + 1:i + 448]) AS INTEGER) AS n_tokens FROM (SELECT doc_id, text, t, unnest(CASE WHEN len(t) = 0 THEN []::BIGINT[] WHEN len(t) <= 448 THEN [0]::BIGINT[] ELSE range(0, len(t), 336) END) AS i FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))",
@@ -309,4 +342,5 @@ ORACLES = {
     "two_rerankers": R.sql("SELECT system, qid, chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY system, qid ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM (SELECT half.qid, half.chunk_id, unnest(['whole', 'second']) AS system, unnest([list_dot_product(q.e, c.embedding::DOUBLE[]), list_dot_product(q.e[33:64], c.embedding[33:64]::DOUBLE[])]) AS s FROM half JOIN q ON q.qid = half.qid JOIN embeddings c ON c.vec_id = half.chunk_id WHERE rank <= 20)", "half", "q"),
     "greedy_match": "WITH v AS (SELECT vec_id // 25 AS filing, vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.filing, a.vec_id AS p, b.vec_id AS g, list_dot_product(a.e, b.e) AS c FROM v a JOIN v b USING (filing) WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), m AS (SELECT filing, (SELECT avg(c) FROM (SELECT max(c) AS c FROM s x WHERE x.filing = s.filing GROUP BY x.p)) AS p, (SELECT avg(c) FROM (SELECT max(c) AS c FROM s x WHERE x.filing = s.filing GROUP BY x.g)) AS r FROM s GROUP BY s.filing) SELECT filing, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM m",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+WITHOUT_SQL = ("subword_lengths", "subword_windows", "subword_clipped", "subword_ratio")
+QUERIES = {name: globals()[name] for name in [*ORACLES, *WITHOUT_SQL]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
-from trawl.operators import diagnose, metrics, mine, retrieve, select, stats
+from trawl.operators import diagnose, metrics, mine, nearest, retrieve, select, stats
 from trawl.plans import text_queries as X
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io
@@ -90,7 +90,8 @@ def filings_of_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_topk(spark, sf):
-    return dense_run(spark, sf, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    index = nearest.vector_index(vectors(spark, sf))
+    return retrieve.dense(vector_queries(spark, sf), None, 10, index=index).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_fusion(spark, sf):
@@ -205,8 +206,8 @@ def by_document(spark: SparkSession, sf: str) -> DataFrame:
 def mining_inputs(spark: SparkSession, sf: str, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(global run, scores within the filings of gold, qrels, corpus), over one stored index."""
     q, c, qrels = questions(spark, sf), by_document(spark, sf), cut(X.text_qrels(spark, sf))
-    index = retrieve.keyword_index(c, lower_ascii_words)
-    score = lambda k, pairs: retrieve.bm25(q, c, k, terms=lower_ascii_words, index=index, within=pairs)
+    index = retrieve.term_index(c, lower_ascii_words)
+    score = lambda k, pairs: retrieve.bm25(q, c, k, terms=lower_ascii_words, index=index, pairs=pairs)
     return score(depth, None), score(None, mine.in_filing_pairs(qrels, c)), qrels, c
 
 

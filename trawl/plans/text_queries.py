@@ -9,6 +9,7 @@ from trawl.functions import text as T
 from trawl.operators import chunk, diagnose, label, retrieve, select, split
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions
 from trawl.sources import io
+from trawl.sources.store import cut
 
 #: Common table expressions, by name; each may use those before it.
 CTE = {
@@ -64,14 +65,21 @@ def ascii_tokens(text):
     return T.tokens(text)
 
 
-def weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(cosines of questions with chunks, chunks): one-word terms of letters and digits."""
+def weighted_sides(spark: SparkSession, sf_dir: str) -> tuple[retrieve.Weighted, DataFrame]:
+    """(questions and chunks by one-word terms of letters and digits, chunks); the index's groups are filings."""
     c = chunks(spark, sf_dir)
-    return retrieve.cosine_by_terms(questions(spark, sf_dir).withColumnRenamed("qid", "ref"), c, T.tokens), c
+    index = retrieve.term_index(c, T.tokens, "filing")
+    return retrieve.weigh(questions(spark, sf_dir).withColumnRenamed("qid", "ref"), index, T.tokens), c
+
+
+def weighted(spark: SparkSession, sf_dir: str, k: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(cosines of each question with its k best chunks, chunks)."""
+    sides, c = weighted_sides(spark, sf_dir)
+    return retrieve.cosine_topk(sides, k), c
 
 
 def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, c = weighted(spark, sf_dir)
+    scores, c = weighted(spark, sf_dir, 20)
     refs = questions(spark, sf_dir).withColumnRenamed("qid", "ref")
     return label.graded_by_coverage(scores, refs, c).select(F.col("ref").alias("qid"), "chunk_id", "grade")
 
@@ -180,17 +188,18 @@ def bm25_topk(spark, sf):
 
 
 def tfidf_align(spark, sf):
-    return label.align(weighted(spark, sf)[0]).select("ref", "chunk_id", F.round("score", 6).alias("score"))
+    return label.align(retrieve.cosine_topk(weighted_sides(spark, sf)[0], 1, least=0.30)).select("ref", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def tfidf_candidates_graded(spark, sf):
-    scores, c = weighted(spark, sf)
+    scores, c = weighted(spark, sf, 20)
     return label.graded_by_coverage(scores, questions(spark, sf).withColumnRenamed("qid", "ref"), c).select("ref", "chunk_id", F.round("coverage", 9).alias("coverage"), "grade")
 
 
 def qrels_max_grade(spark, sf):
     """Grades of both generations of thresholds together, the best one kept."""
-    scores, c = weighted(spark, sf)
+    scores, c = weighted(spark, sf, 20)
+    scores = cut(scores)
     refs = questions(spark, sf).withColumnRenamed("qid", "ref")
     both = [label.graded_by_coverage(scores, refs, c, low=a, high=b).select(F.col("ref").alias("qid"), "chunk_id", "grade") for a, b in ((0.5, 0.8), (0.4, 0.7))]
     return label.best_grades(both[0].unionByName(both[1]))
@@ -213,16 +222,19 @@ def ticker_override(spark, sf):
 
 
 def greedy_coverage(spark, sf):
-    scores, c = weighted(spark, sf)
-    resolved = label.resolve(scores, owners(spark, sf), c)
+    sides, c = weighted_sides(spark, sf)
+    resolved = cut(label.resolve(retrieve.cosine_topk(sides, 200), owners(spark, sf), c))
     refs = questions(spark, sf).select(F.col("qid").alias("ref"), "qid", "text")
-    return label.union_coverage(scores, refs, c, resolved)
+    inside = refs.join(resolved.where("not ambiguous"), "qid").select("ref", F.col("filing").alias("grp"))
+    # a question without a clear filing isn't asked for
+    asked = sides._replace(queries=sides.queries.join(inside.select(F.col("ref").alias("qid")), "qid", "left_semi"))
+    return label.union_coverage(retrieve.cosine_topk(asked, 40, within=inside), refs, c, resolved)
 
 
 def routed_bm25(spark, sf):
     scores, c = weighted(spark, sf)
-    routes = label.resolve(scores, owners(spark, sf), c).where("not ambiguous")
-    run = retrieve.routed(bm25_run(spark, sf, None), routes, c, 10)
+    routes = label.resolve(scores, owners(spark, sf), c).where("not ambiguous").select("qid", F.col("filing").alias("grp"))
+    run = retrieve.bm25(questions(spark, sf), c, 10, terms=lower_ascii_words, index=retrieve.term_index(c, lower_ascii_words, "filing"), within=routes)
     return run.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -231,7 +243,7 @@ def context_topk(spark, sf):
 
 
 def rrf_hybrid(spark, sf):
-    scores, _ = weighted(spark, sf)
+    scores, _ = weighted(spark, sf, 100)
     tfidf = retrieve.ranked(scores.withColumnRenamed("ref", "qid"), 100, "qid")
     return retrieve.fuse(bm25_run(spark, sf, 100), tfidf, k=20).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -280,14 +292,14 @@ def adjacency_runs(spark, sf):
 
 
 def alignment_ladder(spark, sf):
-    scores, c = weighted(spark, sf)
+    scores, c = weighted(spark, sf, 1)
     best = label.graded_by_coverage(scores, questions(spark, sf).withColumnRenamed("qid", "ref"), c, top=1, low=0.0)
     return select.ladder(best, "coverage")
 
 
 def worst_alignments(spark, sf):
     """The three labels with the least coverage, a report by design."""
-    scores, c = weighted(spark, sf)
+    scores, c = weighted(spark, sf, 1)
     best = label.graded_by_coverage(scores, questions(spark, sf).withColumnRenamed("qid", "ref"), c, top=1, low=0.0)
     return best.select("ref", "chunk_id", F.round("coverage", 9).alias("coverage")).orderBy("coverage", "ref").limit(3)
 

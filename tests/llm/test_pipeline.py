@@ -106,6 +106,11 @@ def test_toxicity(spark, folder):
     assert Counter(y for _, y in few) == {0: 5, 1: 3}
     short, _ = training_rows(docs, labels, most_chars=6000)
     assert 0 < len(short) < len(rows) and all(sum(len(t) for t, y in short if y == v) <= 3000 for v in (0, 1))
+    # a labelled text that is longer than all others may have together crowds out none of them
+    long = docs.join(labels.where("toxic = 1"), "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2").orderBy(F.xxhash64("doc_id")).first().doc_id
+    grown = docs.withColumn("text", F.when(F.col("doc_id") == long, F.repeat("text", 20_000)).otherwise(F.col("text")))
+    left, _ = training_rows(grown, labels, most_chars=2_000_000)
+    assert Counter(y for _, y in left) == Counter(y for _, y in rows) - Counter([1])
     assert {g.score for g in toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity(odd.limit(0), labels).count() == 0
 

@@ -243,7 +243,7 @@ def pack(cut_pieces: DataFrame, size: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at, base, place = slots(plan(counts, size))
     salts = spark.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in counts.items()] or [(0, 1)], "length long, _salts long")  # at most size rows
-    salted = cut_pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_salts")
+    salted = cut_pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *(c for c in ("ids_crc32",) if c in cut_pieces.columns)), F.col("_salts"))).drop("_salts")
     key = Window.partitionBy("length", "_salt")
     ranked = salted.withColumn("_rank", F.row_number().over(key.orderBy("doc_id", "piece", "start")) - 1)
     sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))

@@ -265,14 +265,14 @@ def held_out(id_col: Column, fold: int = 2, folds: int = 4) -> Column:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = (4000, 2000), most_chars: int = 24_000_000) -> tuple[list[tuple[str, int]], tuple[int, int]]:
-    """Labelled texts outside the held-out fold: at most most[label] of a label, those with the least hash of their id, as long as they have at most most_chars characters together. Those bounds are what reaches the driver, with the numbers of all such labels."""
+    """Labelled texts outside the held-out fold: at most most[label] of a label, those with the least hash of their id, as long as they have at most most_chars characters together. Texts of over a fortieth of that come after all others, so that one long text crowds out none. Those bounds are what reaches the driver, with the numbers of all such labels."""
     mine = labels.select(F.col("doc_id").alias("_l"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_l").isNotNull() & ~held_out(F.col("_l")))
     picked = [mine.where(F.col("_y") == y).orderBy(F.xxhash64("_l"), "_l").limit(k) for y, k in enumerate(most)]
     few = picked[0].unionByName(picked[1])
     texts = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     got = texts.join(F.broadcast(few), F.col("_i") == F.col("_l"))
     # at most sum(most) rows, dealt by their hash: whole texts until the bound
-    upto = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.xxhash64("_l"), "_l").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum(F.length("_t")).over(Window.partitionBy("_y").orderBy(F.length("_t") > most_chars // 40, F.xxhash64("_l"), "_l").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     got = got.withColumn("_upto", upto).where(F.col("_upto") <= most_chars // 2)
     n = mine.agg(F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1")).first()
     return [(r["_t"], r["_y"]) for r in got.select("_t", "_y").collect()], (n["n0"], n["n1"])

@@ -62,7 +62,17 @@ def test_greedy_coverage():
     for _ in range(50):
         e = Counter(r.choices("abcdef", k=8))
         cand = [(i, Counter(r.choices("abcdefgh", k=5))) for i in range(6)]
-        picked, covered = label.pick(e, cand, 0.8)
+        told = []
+        picked, covered = label.pick(e, cand, 0.8, told)
+        left, want, open_ = e.copy(), [], list(cand)
+        while sum(g for _, g in want) < 0.8 * e.total():
+            gain, k = max(((sum(min(n, c[t]) for t, n in left.items()), -i) for i, (_, c) in enumerate(open_)), default=(0, 0))
+            if not gain:
+                break
+            key, c = open_.pop(-k)
+            want.append((key, gain))
+            left = left - c
+        assert picked == want and 6 <= told[0] <= 6 * (len(want) + 1)
         assert covered == sum(g for _, g in picked) and [g for _, g in picked] == sorted((g for _, g in picked), reverse=True)
 
 
@@ -128,10 +138,58 @@ def test_bootstrap(spark):
     per = spark.createDataFrame([(s, i, x * k) for s, k in (("a", 1.0), ("b", 0.5)) for i, x in enumerate(v)], "system string, qid int, m double")
     got = {r.system: r for r in stats.bootstrap(per, "m").collect()}
     want = np.percentile(stats.resampled_means(np.array(v)), [2.5, 97.5])
-    assert [got["a"].lo, got["a"].hi] == pytest.approx(want) and got["b"].lo == pytest.approx(want[0] / 2)
+    assert [got["a"].lo, got["a"].hi] == pytest.approx(want, rel=1e-12) and got["b"].lo == pytest.approx(want[0] / 2, rel=1e-12)
     d = stats.deltas(per, "m", [("a", "b"), ("a", "a")]).collect()
     assert {(r.a, r.b): r.significant for r in d} == {("a", "b"): True, ("a", "a"): False}
     assert np.isnan(stats.resampled_means(np.array([]), 3)).all()
+    assert stats.bootstrap(per.limit(0), "m").count() == 0
+
+
+@pytest.mark.parametrize("size,n,seed", [(1, 5, 42), (2, 40, 1), (64, 30, 2), (4999, 700, 42), (70_001, 3, 7)])
+def test_the_matrix_is_the_generator_s(spark, monkeypatch, size, n, seed):
+    """Drawn by tasks that jump into the stream, refused numbers included."""
+    monkeypatch.setattr(stats, "STRETCH", 1 << 17)
+    monkeypatch.setattr(stats, "BLOCK", 1 << 14)
+    g = np.random.default_rng(seed)
+    want = [np.bincount(g.integers(0, size, size=size), minlength=size) for _ in range(n)]
+    rows = {(r.b, r.block): r.counts for r in stats.resample_counts(spark, size, n, seed, rows=4).collect()}
+    got = [np.concatenate([rows[b, k] for k in range(-(-size // (1 << 14)))]) for b in range(n)]
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(got) == n
+
+
+def test_numbered(spark):
+    from trawl.sources.order import numbered
+
+    r = random.Random(2)
+    keys = r.sample(range(10_000), 900)
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "k long, t string").repartition(7)
+    got = {x.k: x.at for x in numbered(df, "k", name="at", start=3).collect()}
+    assert got == {k: i + 3 for i, k in enumerate(sorted(keys))}
+    assert numbered(df.limit(0), "k").collect() == []
+
+
+def test_positions_in_files_that_are_split(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 500)):
+        (tmp_path / f"{name}.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"{name}{i}\tc\t1\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = io.read_qrels_with_position(spark, str(tmp_path))
+        got = [r.qid for r in rows.orderBy("file_pos").collect()]
+        assert sorted(r.file_pos for r in rows.collect()) == list(range(4500))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [f"a{i}" for i in range(4000)] + [f"b{i}" for i in range(500)]
+
+
+def test_fingerprint(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, f"id{i}" if i % 5 else None) for i in range(300)], "o long, i string").repartition(6)
+    want = hashlib.sha1("".join(f"id{i}" for i in range(300) if i % 5).encode()).hexdigest()
+    assert tuple(io.fingerprint(df, "i", "o").first()) == (want, 300)
+    assert tuple(io.fingerprint(df.limit(0), "i", "o").first()) == (hashlib.sha1().hexdigest(), 0)
 
 
 def test_sequence_metrics():

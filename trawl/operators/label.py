@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,18 +52,38 @@ def override(resolved: DataFrame, queries: DataFrame, filings: DataFrame) -> Dat
     return out.select("qid", F.coalesce("told", "filing").alias("filing"), (F.col("ambiguous") & F.col("told").isNull()).alias("ambiguous"))
 
 
-def pick(evidence: Counter, candidates: list[tuple], target: float) -> tuple[list[tuple], int]:
-    """Greedy union: again and again the candidate that adds most of what is missing, earlier ones first among equals. Candidates: (key, Counter)."""
+def pick(evidence: Counter, candidates: list[tuple], target: float, told: list | None = None) -> tuple[list[tuple], int]:
+    """Greedy union: again and again the candidate that adds most of what is missing, earlier ones first among equals. Candidates: (key, Counter).
+
+    What a candidate adds only shrinks as more is covered, so old gains are
+    bounds: the candidate with the greatest bound is counted anew, and taken if
+    its gain is still that; the others aren't looked at. told: gets how many
+    gains were counted.
+    """
     total, left, covered, out = evidence.total(), evidence.copy(), 0, []
-    open_ = list(candidates)
-    while covered < target * total:
-        gain, at = max(((sum(min(n, c[t]) for t, n in left.items()), -k) for k, (_, c) in enumerate(open_)), default=(0, 0))
-        if not gain:
+    gain = lambda c: sum(min(n, c[t]) for t, n in left.items())
+    queue = [(-gain(c), k) for k, (_, c) in enumerate(candidates)] if target * total > 0 else []
+    heapq.heapify(queue)
+    counted = len(queue)
+    fresh = set(range(len(queue)))
+    while queue and covered < target * total:
+        bound, k = heapq.heappop(queue)
+        if not bound:
             break
-        key, c = open_.pop(-at)
-        out.append((key, gain))
+        key, c = candidates[k]
+        if k not in fresh:
+            now = gain(c)
+            counted += 1
+            if now != -bound:
+                fresh.add(k)
+                heapq.heappush(queue, (-now, k))
+                continue
+        out.append((key, -bound))
         left = left - c
-        covered += gain
+        covered -= bound
+        fresh.clear()
+    if told is not None:
+        told.append(counted)
     return out, covered
 
 
@@ -83,7 +104,10 @@ def union_coverage(scores: DataFrame, refs: DataFrame, corpus: DataFrame, resolv
     short = mine.join(scored.groupBy("ref").agg(F.count("*").alias("_s")), "ref", "left").where(F.coalesce("_s", F.lit(0)) < top)
     more = short.join(first, "filing").join(scored.select("ref", "chunk_id"), ["ref", "chunk_id"], "left_anti").select("ref", "qid", "chunk_id", F.lit(0.0).alias("score"))
     near = ranked(scored.drop("rank").unionByName(more), top, "ref").join(corpus.select("chunk_id", tokens(F.col("text")).alias("c")), "chunk_id")
-    groups = near.groupBy("ref", "qid").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "c"))).alias("cand")).join(refs.select("ref", tokens(F.col("text")).alias("e")), "ref")
+    asked = refs.select("ref", tokens(F.col("text")).alias("e"))
+    # of a chunk only the words that the evidence has
+    near = near.join(asked, "ref").select("ref", "qid", "rank", "chunk_id", F.filter("c", lambda t: F.array_contains("e", t)).alias("c"))
+    groups = near.groupBy("ref", "qid").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "c"))).alias("cand")).join(asked, "ref")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["qid", "ref", "chunk_id", "gain", "total", "step"]

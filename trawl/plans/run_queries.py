@@ -10,6 +10,7 @@ from trawl.operators import diagnose, metrics, mine, nearest, retrieve, select,
 from trawl.plans import text_queries as X
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io
+from trawl.sources.order import numbered
 from trawl.sources.store import cut
 
 DEPTH = 100
@@ -240,9 +241,9 @@ def triplet_accuracy(spark, sf):
 
 def sft_rows_holdout(spark, sf):
     q = questions(spark, sf)
-    asked = q.select("qid", "text", F.row_number().over(Window.orderBy("qid")).alias("pos"))
+    asked = numbered(q.select("qid", "text"), "qid", start=1).withColumn("pos", F.col("pos").cast("int"))
     answers = q.select("qid", F.when(F.col("qid") % 7 == 0, " ").otherwise(F.concat(F.lit(" answer "), F.col("qid").cast("string"))).alias("answer"))
-    labels = X.text_qrels(spark, sf).withColumn("file_pos", F.row_number().over(Window.orderBy("qid", "chunk_id")))
+    labels = numbered(X.text_qrels(spark, sf), "qid", "chunk_id", name="file_pos")
     rows = mine.sft_rows(asked, answers, labels, chunks(spark, sf))
     return select.hold_out_last(rows, "pos", 2).select("pos", "question", "context", "answer", "side")
 
@@ -255,7 +256,7 @@ def label_mask(spark, sf):
 
 
 def batch_padding(spark, sf):
-    rows = questions(spark, sf).select("qid", (F.row_number().over(Window.orderBy("qid")) - 1).alias("at"), F.transform(ascii_words(F.col("text")), lambda x: F.length(x)).alias("ids"))
+    rows = numbered(questions(spark, sf).select("qid", F.transform(ascii_words(F.col("text")), lambda x: F.length(x)).alias("ids")), "qid", name="at")
     return mine.pad_batches(rows, "ids", "at", 16).select("qid", "batch", "input_ids", "attention_mask")
 
 

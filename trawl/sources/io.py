@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trawl.functions.text import strip_undecodable
 from trawl.sources import schemas
+from trawl.sources.order import numbered
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +55,10 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels_with_position(spark: SparkSession, path: str) -> DataFrame:
-    """As read_qrels(), with file_pos, the order in which lines stand; for "first gold". One file, read in one task: files of labels are small."""
-    lines = spark.read.schema(schemas.QRELS).option("sep", "\t").option("header", True).option("multiLine", True).csv(path)
-    return lines.withColumn("file_pos", F.monotonically_increasing_id())
+    """qid, chunk_id, grade of every line, with file_pos, the order in which lines stand, file by file; for "first gold". Splits of a file are read side by side and numbered by where they begin."""
+    lines = spark.read.schema(schemas.QRELS).option("sep", "\t").option("header", True).option("enforceSchema", True).csv(path)
+    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return numbered(lines, "_file", "_block", "_line", name="file_pos").drop("_file", "_block", "_line")
 
 
 def gold_sets(qrels: DataFrame) -> DataFrame:
@@ -161,9 +167,19 @@ def unfinished(todo: DataFrame, spark: SparkSession, path: str, *by: str) -> Dat
 
 
 def fingerprint(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """One row: SHA-1 over the ids in order, nothing between them. The ids meet in one task, as the digest is of all of them in a row."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(id_col).cast("string").alias("i"))))
-    return df.agg(F.sha1(F.array_join(F.transform(rows, lambda x: x["i"]), "").cast("binary")).alias("fingerprint"), F.count("*").alias("n"))
+    """One row: SHA-1 over the ids in order, nothing between them, and the number of rows. A digest is a chain, so sorted ids pass one task; it folds them as they come and holds none. Null ids add nothing."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha1(), 0
+        for b in batches:
+            n += b.num_rows
+            digest.update("".join(i for i in b.column(0).to_pylist() if i is not None).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["f", "n"])
+
+    rows = df.select(F.col(id_col).cast("string").alias("i"), F.col(order_col).alias("o")).repartition(1).sortWithinPartitions("o", "i")
+    whole = rows.select("i").mapInArrow(fold, "f string, n long")
+    # without rows there may be no task
+    return whole.agg(F.coalesce(F.max("f"), F.lit(hashlib.sha1().hexdigest())).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def manifest(vectors: DataFrame, model: str, id_col: str = "id", order_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-worked cases and properties of the operators."""
 
+import math
 import random
 from collections import Counter
 
@@ -201,8 +202,54 @@ def test_sequence_metrics():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert metrics.lcs(a, b) == t[-1][-1]
-    w = "the cat sat on the mat".split()
-    assert metrics.bleu(w, w) == pytest.approx(1) and metrics.bleu([], w) == 0 and 0 < metrics.bleu(w[:3], w) < 1
+
+
+def plain_bleu(p, g):
+    """Sentence BLEU by the published formula."""
+    logs, missed, used, some = 0.0, 0, 0, 0
+    for n in range(1, 5):
+        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (p, g))
+        if not a:
+            break
+        hits = (a & b).total()
+        some += hits
+        missed += not hits
+        logs += math.log(hits / a.total() if hits else 1 / (2**missed * a.total()))
+        used += 1
+    return min(1.0, math.exp(1 - len(g) / len(p))) * math.exp(logs / used) if some else 0.0
+
+
+def test_bleu(spark):
+    r = random.Random(3)
+    word = ["the", "cat,", "sat", "1,000", "3.5", "a-b", "2-3", "(x)", "&amp;", "É.", "no."]
+    split = {"cat,": ["cat", ","], "2-3": ["2", "-", "3"], "(x)": ["(", "x", ")"], "&amp;": ["&"], "É.": ["É", "."], "no.": ["no", "."]}
+    rows = [(i, r.choices(word, k=r.randrange(9)), r.choices(word, k=r.randrange(9))) for i in range(80)] + [(90, word, word), (91, word[:3], word)]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, a, b in rows], "k long, prediction string, gold string")
+    got = {x.k: x.bleu for x in metrics.bleu(df, ["k"]).collect()}
+    parted = lambda ws: [t for w in ws for t in split.get(w, [w])]
+    for i, a, b in rows:
+        assert got[i] == pytest.approx(plain_bleu(parted(a), parted(b)), abs=1e-9), (a, b)
+    assert got[90] == 1.0 and 0 < got[91] < 1
+
+
+def test_stems(spark):
+    from trawl.functions.stem import stems
+
+    want = """caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall
+    hissing hiss fizzed fizz failing fail filing file happy happi skies sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal
+    decisiveness decis hopefulness hope formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope
+    goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt
+    communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll dying die news news
+    using use geology geolog the the was was 10k 10k yields yield yearly yearli supplies suppli flies fli died die""".split()
+    pairs = dict(zip(want[::2], want[1::2], strict=True))
+    got = {r.word: r.stem for r in stems(spark.createDataFrame([(w,) for w in pairs], "word string")).collect()}
+    assert got == pairs
+
+
+def test_stemmed_texts(spark):
+    df = spark.createDataFrame([(1, "The hopping CATS, the hopping!", "x", 5), (2, "", None, 6)], "k long, a string, b string, other int")
+    got = {r.k: (r.a, r.b, r.other) for r in metrics.stemmed(df, ["k"], "a", "b").collect()}
+    assert got == {1: ("the hop cat the hop", "x", 5), 2: ("", "", 6)}
 
 
 def test_negatives_and_rows(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.functions.stem import stems, stems_sql
 from trawl.operators import diagnose, metrics, mine, nearest, retrieve, select, stats
 from trawl.plans import text_queries as X
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
@@ -272,9 +273,26 @@ def rouge_n(spark, sf):
     return metrics.rouge_n(turns(spark, sf), 1, keys).join(metrics.rouge_n(turns(spark, sf), 2, keys), keys)
 
 
+def rouge_stemmed(spark, sf):
+    keys = ["conv_id", "turn"]
+    rows = cut(metrics.stemmed(turns(spark, sf), keys, "prediction", "gold"))
+    return metrics.rouge_n(rows, 1, keys).join(metrics.rouge_n(rows, 2, keys), keys)
+
+
+def word_stems(spark, sf):
+    """The different lower-case words of the documents and their stems."""
+    return stems(load(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct())
+
+
+def bleu_13a(spark, sf):
+    return metrics.bleu(turns(spark, sf), ["conv_id", "turn"])
+
+
 def rouge_l_bleu(spark, sf):
-    rows = turns(spark, sf).withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return metrics.sequence_scores(rows, "key")
+    keys = ["conv_id", "turn"]
+    rows = metrics.stemmed(turns(spark, sf), keys, "prediction", "gold").withColumn("key", F.concat_ws("-", *keys))
+    bleu = metrics.bleu(turns(spark, sf), keys).select(F.concat_ws("-", *keys).alias("key"), "bleu")
+    return metrics.sequence_scores(rows, "key").join(bleu, "key")
 
 
 def prompts(spark, sf):
@@ -340,7 +358,37 @@ def _with(query: str, more: str) -> str:
     return query.replace(") @", f"), {more} ", 1)
 
 
+def _stemmed_turns() -> str:
+    """turns as _TURNS, their texts stemmed."""
+    sides = " UNION ALL ".join(f"SELECT conv_id, turn, '{c}' AS c, t[i] AS word, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower({c}), '[a-z0-9]+') AS t FROM turns0))" for c in ("prediction", "gold"))
+    made = ", ".join(f"coalesce(string_agg(stem, ' ' ORDER BY i) FILTER (c = '{c}'), '') AS {c}" for c in ("prediction", "gold"))
+    return f"{_TURNS.replace('turns AS', 'turns0 AS', 1)}, sides AS MATERIALIZED ({sides}), {stems_sql('SELECT DISTINCT word FROM sides')}, turns AS MATERIALIZED (SELECT conv_id, turn, {made} FROM (SELECT conv_id, turn FROM turns0) LEFT JOIN sides USING (conv_id, turn) LEFT JOIN stems USING (word) GROUP BY conv_id, turn)"
+
+
+def _tokens_13a(text: str) -> str:
+    for found, put in metrics.PLAIN_13A:
+        text = f"replace({text}, '{found}', '{put}')"
+    text = f"' ' || {text} || ' '"
+    for pattern, put in metrics.PARTS_13A:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"list_filter(regexp_split_to_array({text}, '[\\s\\x0B\\p{{Z}}]+'), lambda t: t <> '')"
+
+
+def _grams_13a(side: str) -> str:
+    return f"SELECT conv_id, turn, n, array_to_string({side}[i:i + n - 1], ' ') AS x, count(*) AS k FROM (SELECT *, unnest(range(1, greatest(len({side}) - n + 2, 1))) AS i FROM bt, ns) GROUP BY ALL"
+
+
+_BLEU = f"""WITH {_TURNS}, bt AS MATERIALIZED (SELECT conv_id, turn, {_tokens_13a("prediction")} AS p, {_tokens_13a("gold")} AS g FROM turns), ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+bh AS (SELECT a.conv_id, a.turn, a.n, sum(least(a.k, b.k)) AS h FROM ({_grams_13a("p")}) a JOIN ({_grams_13a("g")}) b USING (conv_id, turn, n, x) GROUP BY ALL),
+bo AS (SELECT bt.conv_id, bt.turn, ns.n, len(p) AS lp, len(g) AS lg, len(p) - ns.n + 1 AS there, coalesce(h, 0) AS h FROM bt JOIN ns ON len(p) >= ns.n LEFT JOIN bh ON bh.conv_id = bt.conv_id AND bh.turn = bt.turn AND bh.n = ns.n),
+bm AS (SELECT *, count(*) FILTER (h = 0) OVER (PARTITION BY conv_id, turn ORDER BY n) AS missed FROM bo),
+bs AS (SELECT conv_id, turn, CASE WHEN sum(h) = 0 THEN 0 ELSE CASE WHEN any_value(lp) < any_value(lg) THEN exp(1 - any_value(lg) / any_value(lp)) ELSE 1 END * exp(avg(CASE WHEN h > 0 THEN ln(h / there) ELSE -ln(2.0::DOUBLE ** missed * there) END)) END AS bleu FROM bm GROUP BY conv_id, turn)
+SELECT conv_id, turn, round(coalesce(bleu, 0), 9) AS bleu FROM turns LEFT JOIN bs USING (conv_id, turn)"""
+
 ORACLES = {
+    "bleu_13a": _BLEU,
+    "word_stems": "WITH " + stems_sql("SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents") + " SELECT word, stem FROM stems",
+    "rouge_stemmed": f"WITH {_stemmed_turns()}, {_rouge('r1', _ONE)}, {_rouge('r2', _TWO)} SELECT conv_id, turn, round(coalesce(r1.f, 0), 9) AS rouge_1, round(coalesce(r2.f, 0), 9) AS rouge_2 FROM turns LEFT JOIN r1 USING (conv_id, turn) LEFT JOIN r2 USING (conv_id, turn)",
     "dense_topk": sql(_TOP.format("dense", 10), "dense"),
     "dense_fusion": sql(_TOP.format("hybrid", 100), "hybrid"),
     "routed_dense": sql("SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sims WHERE qid % 100 <> 0 OR qid // 25 = chunk_id // 25) WHERE rank <= 10", "sims"),

@@ -38,15 +38,6 @@ def adjacency(qrels: DataFrame) -> DataFrame:
     return out.select("qid", "n_relevant", "n_runs", "n_filings", F.round(F.when(gaps > 0, F.col("adjacent") / gaps).otherwise(0.0), 6).alias("adjacent_share"))
 
 
-def pair_geometry(vectors: DataFrame, id_col: str, cosine, vector_col: str = "embedding") -> DataFrame:
-    """One row: count, mean, deviation and tails of the cosines of all pairs. Meant for the bounded sample that its caller draws."""
-    a = vectors.select(F.col(id_col).alias("a"), F.col(vector_col).alias("x"))
-    b = vectors.select(F.col(id_col).alias("b"), F.col(vector_col).alias("y"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select(cosine(F.col("x"), F.col("y")).alias("c"))
-    pick = lambda p: F.round(F.expr(f"percentile(c, {p})"), 6)
-    return pairs.agg(F.count("*").alias("n_pairs"), F.round(F.avg("c"), 6).alias("mean_cos"), F.round(F.stddev_pop("c"), 6).alias("std_cos"), pick(0.05).alias("p5"), pick(0.95).alias("p95"))
-
-
 def first_ranks(run: DataFrame, qrels: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     """qid, first_rank of gold (depth + 1 if missed), best gold score, top-1 score."""
     top = run.where(F.col("rank") <= depth)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.functions.stem import stems, stems_sql
-from trawl.operators import diagnose, metrics, mine, nearest, retrieve, select, stats
+from trawl.operators import diagnose, metrics, mine, nearest, pairs, retrieve, select, stats
 from trawl.plans import text_queries as X
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io
@@ -189,7 +189,7 @@ def gold_separation(spark, sf):
 
 def embedding_geometry(spark, sf):
     """Over all pairs of the stated query set."""
-    return diagnose.pair_geometry(vector_queries(spark, sf), "qid", T.dot)
+    return pairs.pair_geometry(vector_queries(spark, sf), "qid")
 
 
 def unit_vectors(spark, sf):

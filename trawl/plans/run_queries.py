@@ -207,7 +207,8 @@ def by_document(spark: SparkSession, sf: str) -> DataFrame:
 
 def mining_inputs(spark: SparkSession, sf: str, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(global run, scores within the filings of gold, qrels, corpus), over one stored index."""
-    q, c, qrels = questions(spark, sf), by_document(spark, sf), cut(X.text_qrels(spark, sf))
+    q, c = questions(spark, sf), cut(by_document(spark, sf))
+    qrels = cut(X.text_qrels(spark, sf, c))
     index = retrieve.term_index(c, lower_ascii_words)
     score = lambda k, pairs: retrieve.bm25(q, c, k, terms=lower_ascii_words, index=index, pairs=pairs)
     return score(depth, None), score(None, mine.in_filing_pairs(qrels, c)), qrels, c

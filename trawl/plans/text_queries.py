@@ -65,21 +65,21 @@ def ascii_tokens(text):
     return T.tokens(text)
 
 
-def weighted_sides(spark: SparkSession, sf_dir: str) -> tuple[retrieve.Weighted, DataFrame]:
-    """(questions and chunks by one-word terms of letters and digits, chunks); the index's groups are filings."""
-    c = chunks(spark, sf_dir)
+def weighted_sides(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> tuple[retrieve.Weighted, DataFrame]:
+    """(questions and chunks by one-word terms of letters and digits, chunks); the index's groups are filings. Chunks are stored, unless given, as what follows reads them again."""
+    c = cut(chunks(spark, sf_dir)) if corpus is None else corpus
     index = retrieve.term_index(c, T.tokens, "filing")
     return retrieve.weigh(questions(spark, sf_dir).withColumnRenamed("qid", "ref"), index, T.tokens), c
 
 
-def weighted(spark: SparkSession, sf_dir: str, k: int = 200) -> tuple[DataFrame, DataFrame]:
+def weighted(spark: SparkSession, sf_dir: str, k: int = 200, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(cosines of each question with its k best chunks, chunks)."""
-    sides, c = weighted_sides(spark, sf_dir)
+    sides, c = weighted_sides(spark, sf_dir, corpus)
     return retrieve.cosine_topk(sides, k), c
 
 
-def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, c = weighted(spark, sf_dir, 20)
+def text_qrels(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    scores, c = weighted(spark, sf_dir, 20, corpus)
     refs = questions(spark, sf_dir).withColumnRenamed("qid", "ref")
     return label.graded_by_coverage(scores, refs, c).select(F.col("ref").alias("qid"), "chunk_id", "grade")
 
@@ -188,7 +188,7 @@ def bm25_topk(spark, sf):
 
 
 def tfidf_align(spark, sf):
-    return label.align(retrieve.cosine_topk(weighted_sides(spark, sf)[0], 1, least=0.30)).select("ref", "chunk_id", F.round("score", 6).alias("score"))
+    return label.align(retrieve.cosine_topk(weighted_sides(spark, sf, chunks(spark, sf))[0], 1, least=0.30)).select("ref", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def tfidf_candidates_graded(spark, sf):
@@ -243,14 +243,14 @@ def context_topk(spark, sf):
 
 
 def rrf_hybrid(spark, sf):
-    scores, _ = weighted(spark, sf, 100)
+    scores, c = weighted(spark, sf, 100)
     tfidf = retrieve.ranked(scores.withColumnRenamed("ref", "qid"), 100, "qid")
-    return retrieve.fuse(bm25_run(spark, sf, 100), tfidf, k=20).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieve.fuse(retrieve.bm25(questions(spark, sf), c, 100, terms=lower_ascii_words), tfidf, k=20).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def rerank_depth_sweep(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    run = bm25_run(spark, sf, 200)
+    c, q = cut(chunks(spark, sf)), questions(spark, sf)
+    run = cut(retrieve.bm25(q, c, 200, terms=lower_ascii_words))
     scores = retrieve.lexical_scores(run, q, c, T.tokens)
     return retrieve.depth_sweep(run, scores).select("system", "qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 

@@ -353,3 +353,47 @@ def test_one_json_object(spark, tmp_path):
 
     with pytest.raises(ValueError):
         io.write_json_object(spark.range(2), str(tmp_path / "x"))
+
+
+def test_seeded_row_holdout(spark):
+    rows = list(range(500))
+    random.Random(42).shuffle(rows)
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(500)], "i long, t string").repartition(5)
+    got = mine.seeded_row_holdout(df, "i", n=20)
+    assert {r.i for r in got.where("side = 'val'").collect()} == set(rows[:20]) and got.count() == 500 and got.columns == ["i", "t", "side"]
+
+
+def test_encode(spark):
+    from trawl.operators import encode
+
+    def maker():
+        def model(texts):
+            assert len(texts) <= 4 and len(set(texts)) == len(texts)
+            return encode.hashed_words(16)()(texts)
+
+        return model
+
+    texts = ["a b", "b a", "a b", "", None, "ü x", *[f"w{i} a" for i in range(9)]]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, other int").repartition(2)
+    got = {r.id: r for r in encode.encode(df, maker, batch=4).collect()}
+    plain = encode.hashed_words(16)()
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i].embedding is None
+            continue
+        v = plain([t])[0]
+        assert got[i].embedding == pytest.approx(v / (np.linalg.norm(v) or 1), abs=1e-6)
+    asked = encode.encode(df.where("id = 0"), maker, queries=True).first().embedding
+    assert asked != got[0].embedding
+    pairs = spark.createDataFrame([(0, "c0"), (0, "c1"), (1, "c0"), (0, "c0"), (2, "c1")], "qid long, chunk_id string")
+    q = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "qid long, text string")
+    c = spark.createDataFrame([("c0", "x y"), ("c1", "z")], "chunk_id string, text string")
+
+    def scorer():
+        def model(both):
+            assert len(set(both)) == len(both)
+            return [len(x) * 10 + len(y) for x, y in both]
+
+        return model
+
+    assert {tuple(r) for r in encode.score_pairs(pairs, q, c, scorer).collect()} == {(0, "c0", 13.0), (0, "c1", 11.0), (1, "c0", 13.0)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trawl.functions.text import content_tokens
 from trawl.operators.retrieve import ranked
 from trawl.operators.select import neighbours, not_gold
+from trawl.sources.order import numbered
 from trawl.sources.store import cut
 
 
@@ -76,6 +77,20 @@ def row_holdout(rows: DataFrame, key: str, n: int = 200) -> DataFrame:
     return rows.join(F.broadcast(last)).withColumn("side", F.when(mark <= F.col("_to"), "val").otherwise("train")).drop("_to")
 
 
+def seeded_row_holdout(rows: DataFrame, *by: str, n: int = 200, seed: int = 42) -> DataFrame:
+    """Adds side: "val" for the n rows that a seeded shuffle of all rows in the order of `by` puts first, else "train".
+
+    Rows are split, so one question can be on both sides; for comparison with
+    splits by question. The shuffle is a chain of draws over places: the driver
+    holds one whole number for each row, and sends n of them.
+    """
+    placed = cut(numbered(rows, *by, name="_pos"))
+    order = list(range(placed.count()))
+    random.Random(seed).shuffle(order)
+    chosen = rows.sparkSession.createDataFrame([(p,) for p in order[:n]], "_chosen long")
+    return placed.join(F.broadcast(chosen), F.col("_pos") == F.col("_chosen"), "left").withColumn("side", F.when(F.col("_chosen").isNotNull(), "val").otherwise("train")).drop("_pos", "_chosen")
+
+
 def banded(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, n_in: int = 4, n_cross: int = 4, band: float = 0.35, reach: int = 1) -> DataFrame:
     """qid, pos_id, negatives, n_in_filing, n_cross_filing: a row for each primary positive.
 

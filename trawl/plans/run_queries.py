@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as T
 from trawl.functions.stem import stems, stems_sql
-from trawl.operators import diagnose, metrics, mine, nearest, pairs, retrieve, select, stats
+from trawl.operators import diagnose, encode, metrics, mine, nearest, pairs, retrieve, select, stats
 from trawl.plans import text_queries as X
 from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io
@@ -96,6 +96,14 @@ def dense_topk(spark, sf):
     return retrieve.dense(vector_queries(spark, sf), None, 10, index=index).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def encoded_topk(spark, sf):
+    """From texts to a ranking: chunks and questions encoded by a stand-in for a neural model, then dense retrieval."""
+    model = encode.hashed_words(64)
+    c = encode.encode(chunks(spark, sf).select("chunk_id", "text"), model)
+    q = encode.encode(questions(spark, sf), model)
+    return retrieve.dense(q, c, 10).select("qid", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 def dense_fusion(spark, sf):
     return retrieve.fuse(dense_run(spark, sf), half_run(spark, sf), k=DEPTH).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -423,6 +431,6 @@ ORACLES = {
     "trec_lines": X.sql("SELECT qid, CAST(rank AS INTEGER) AS rank, qid || ' Q0 ' || chunk_id || ' ' || rank || ' ' || format('{:.6f}', score) || ' bm25' AS line FROM (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm_ranked WHERE rank <= 10)", "bm_ranked"),
     "embedding_manifest": "SELECT 'given' AS model, count(*) AS n_chunks, max(len(embedding))::BIGINT AS dim, sha1(string_agg(CAST(vec_id AS VARCHAR), '' ORDER BY vec_id)) AS fingerprint FROM embeddings",
 }
-WITHOUT_SQL = ("bootstrap_numpy", "delta_pairs", "rouge_l_bleu")
+WITHOUT_SQL = ("bootstrap_numpy", "delta_pairs", "rouge_l_bleu", "encoded_topk")
 QUERIES = {name: globals()[name] for name in [*ORACLES, *WITHOUT_SQL]}
 

@@ -60,9 +60,10 @@ def _starts(spark, size: int, n: int, seed: int, rows: int) -> DataFrame:
     return spark.createDataFrame([(int(b), min(rows, n - int(b)), int(s) * STRETCH, int(b * size - upto[s])) for b, s in zip(at, k, strict=True)], "b long, rows long, begin long, skip long")
 
 
-def resample_counts(spark, size: int, n: int = N_BOOT, seed: int = SEED, rows: int = 16) -> DataFrame:
-    """b, block, counts: how often each place of a block of places is drawn in resample b, all from one matrix of n by size draws, each task drawing its own rows of it."""
+def resample_counts(spark, size: int, n: int = N_BOOT, seed: int = SEED, rows: int | None = None) -> DataFrame:
+    """b, block, counts: how often each place of a block of places is drawn in resample b, all from one matrix of n by size draws, each task drawing its own `rows` of it, about STRETCH numbers unless given."""
     block = BLOCK
+    rows = rows or min(n, max(1, STRETCH // size))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +94,8 @@ def bootstrap(per: DataFrame, metric: str, n: int = N_BOOT, seed: int = SEED) ->
     added over blocks. No task holds a system's values or the matrix.
     """
     spark = per.sparkSession
-    rows = numbered(per.select("system", "qid", F.col(metric).cast("double").alias("v")), "system", "qid")
+    # ranges are found by looking at the rows first
+    rows = numbered(cut(per.select("system", "qid", F.col(metric).cast("double").alias("v"))), "system", "qid")
     sizes = cut(rows.groupBy("system").agg(F.count("*").alias("size"), F.min("pos").alias("first"), F.avg("v").alias("mean")))
     place = F.col("pos") - F.col("first")
     values = rows.join(sizes, "system").select("system", "size", F.floor(place / BLOCK).alias("block"), F.struct(place.alias("p"), "v").alias("x"))
@@ -142,7 +144,8 @@ def hashed_bootstrap(per: DataFrame, metric: str, n: int = 200) -> DataFrame:
     A query's weight is how often it is drawn, so a resample is a weighted
     mean; nothing is gathered in one task.
     """
-    q = cut(numbered(per.select("qid").distinct(), "qid", name="place"))
+    per = cut(per.select("system", "qid", F.col(metric)))
+    q = numbered(per.select("qid").distinct(), "qid", name="place")
     size = q.count()
     draws = per.sparkSession.range(n).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("j"))
     mixed = ((F.col("b") * 1_000_003 + F.col("j") * 7_919 + 17) * 48_271) % 2_147_483_647

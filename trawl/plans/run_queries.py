@@ -75,7 +75,7 @@ def pair_scores(run: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_runs(spark: SparkSession, sf: str) -> DataFrame:
-    dense, half = dense_run(spark, sf), half_run(spark, sf)
+    dense, half = cut(dense_run(spark, sf)), cut(half_run(spark, sf))
     hybrid = retrieve.fuse(dense, half, k=DEPTH)
     out = retrieve.depth_sweep(half, pair_scores(retrieve.truncate(half, max(DEPTHS)), spark, sf), DEPTHS).select("system", "qid", "chunk_id", "score", "rank")
     for name, run in (("dense", dense), ("half", half), ("hybrid", hybrid)):
@@ -253,7 +253,7 @@ def sft_rows_holdout(spark, sf):
     q = questions(spark, sf)
     asked = numbered(q.select("qid", "text"), "qid", start=1).withColumn("pos", F.col("pos").cast("int"))
     answers = q.select("qid", F.when(F.col("qid") % 7 == 0, " ").otherwise(F.concat(F.lit(" answer "), F.col("qid").cast("string"))).alias("answer"))
-    labels = numbered(X.text_qrels(spark, sf), "qid", "chunk_id", name="file_pos")
+    labels = numbered(cut(X.text_qrels(spark, sf)), "qid", "chunk_id", name="file_pos")
     rows = mine.sft_rows(asked, answers, labels, chunks(spark, sf))
     return select.hold_out_last(rows, "pos", 2).select("pos", "question", "context", "answer", "side")
 

@@ -16,7 +16,8 @@ def numbered(df: DataFrame, *by: str | Column, name: str = "pos", start: int = 0
 
     Ranges of the order lie side by side, each sorted by itself and stored with
     its rows counted off; what earlier ranges hold is added, a number for each
-    range. Rows that agree in `by` stay in one range, in any order.
+    range. Rows that agree in `by` stay in one range, in any order. Ranges come
+    from a sample, for which the rows are made once more unless they are stored.
     """
     rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", WITHIN)

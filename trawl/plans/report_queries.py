@@ -321,7 +321,7 @@ ORACLES = {
     "loss_points": "SELECT r_name AS model, CASE WHEN n_nationkey < 15 THEN 'train' ELSE 'val' END AS series, CAST(n_nationkey AS BIGINT) AS step, length(n_name)::DOUBLE AS loss FROM nation JOIN region ON n_regionkey = r_regionkey",
     "prediction_rows": "SELECT CAST(conv_id AS VARCHAR) AS model, CAST(turn AS VARCHAR) AS qid, text AS gold, unnest(['base', 'qlora']) AS system, unnest([substring(text, 1, 20), 'A: ' || text]) AS prediction FROM conversations",
     "undecodable_bytes": "SELECT doc_id, 'A' || text || chr(65533) AS text FROM documents",
-    "html_hostile": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[<&]', ' ', 'g'), '[\\s\\x0B\\p{Z}]+', ' ', 'g') || ' é b © 1 – 2 < 3') AS text FROM documents",
+    "html_hostile": "SELECT doc_id, trim(trim(regexp_replace(regexp_replace(text, '[<&]', ' ', 'g'), '[\\s\\x0B\\p{Z}]+', ' ', 'g')) || ' é b © 1 – 2 < 3') AS text FROM documents",
     "references_decoded": "SELECT doc_id, '<€Aé&amp;¬hing;&' || text AS text FROM documents",
     "model_slugs": "SELECT lower(lang) || '-0-5-' || lower(source) AS slug, count(*) AS n FROM documents GROUP BY ALL",
     "token_windows": "SELECT doc_id, CAST(i // 336 AS INTEGER) AS chunk_idx, CASE WHEN len(t) <= 448 THEN text ELSE array_to_string(t[i + 1:i + 448], ' ') END AS text, CAST(len(t[i + 1:i + 448]) AS INTEGER) AS n_tokens FROM (SELECT doc_id, text, t, unnest(CASE WHEN len(t) = 0 THEN []::BIGINT[] WHEN len(t) <= 448 THEN [0]::BIGINT[] ELSE range(0, len(t), 336) END) AS i FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents))",

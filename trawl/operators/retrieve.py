@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import lower_words
 from trawl.operators import nearest
-from trawl.operators.blockmax import TermIndex, bm25_impact, hits, search, term_index, unit_impact
+from trawl.operators.blockmax import TermIndex, bm25_impact, hits, search, term_index, unit_impact, with_norms
 from trawl.sources.store import cut
 
 
@@ -101,18 +101,28 @@ class Weighted(NamedTuple):
     stats: DataFrame
 
 
-def weigh(queries: DataFrame, index: TermIndex, terms, most: int = 200_000, query_key: str = "ref") -> Weighted:
-    """Both sides of a weighted comparison; the index keeps the `most` commonest terms."""
-    stats = cut(vocabulary(index.stats, most))
+def weigh(queries: DataFrame, index: TermIndex, terms, most: int | None = 200_000, query_key: str = "ref") -> Weighted:
+    """Both sides of a weighted comparison; the index keeps the `most` commonest terms, all for None."""
+    stats = index.stats if most is None else cut(vocabulary(index.stats, most))
     q = tfidf(postings(queries.withColumnRenamed(query_key, "qid"), "qid", terms(F.col("text"))), stats, index.n, "qid")
     return Weighted(cut(q), index, stats)
 
 
-def cosine_topk(sides: Weighted, k: int, query_key: str = "ref", least: float = 0.0, within: DataFrame | None = None) -> DataFrame:
-    """query key, chunk_id, score of the k best chunks by cosine, above 0 and from `least` on; within as in search(), its key named alike."""
-    factors = sides.stats.select("term", rarity(sides.index.n).alias("factor"))
+def factors(sides: Weighted) -> DataFrame:
+    """term, cf, factor of the terms that the index keeps."""
+    return sides.stats.select("term", "cf", rarity(sides.index.n).alias("factor"))
+
+
+def measured(sides: Weighted) -> TermIndex:
+    """The index with the lengths of the chunks' vectors, stored; it serves several searches."""
+    return with_norms(sides.index, factors(sides))
+
+
+def cosine_topk(sides: Weighted, k: int, query_key: str = "ref", least: float = 0.0, within: DataFrame | None = None, index: TermIndex | None = None) -> DataFrame:
+    """query key, chunk_id, score of the k best chunks by cosine, above 0 and from `least` on; within as in search(), its key named alike. index: of measured(), made if not given."""
     inside = None if within is None else within.withColumnRenamed(query_key, "qid")
-    found = hits(search(sides.index, sides.queries, k, unit_impact, least, factors, inside))
+    weights = sides.queries.join(factors(sides), "term").select("qid", "term", (F.col("w") * F.col("factor")).alias("w"))
+    found = hits(search(index or measured(sides), weights, k, unit_impact, least, inside))
     return ranked(found, k, "qid").select(F.col("qid").alias(query_key), "chunk_id", "score")
 
 

@@ -65,3 +65,15 @@ def test_entry_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; print(sorted(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
     assert out.strip() == f"{sorted(MINE)} True"
+
+
+@pytest.mark.parametrize("name,table", [("html_text", "SELECT 1 AS page_id, 'u' AS url, '<p>a &amp</p><p>b &amp; c</p>' AS html"), ("references_decoded", "SELECT unnest([1, 2, 3, 4]) AS doc_id, unnest(['THORN x', '#65;', 'a & b', '! lt;']) AS text")])
+def test_references(spark, tmp_path, name, table):
+    """Texts that begin like a reference's name, and references without a semicolon, as the SQL has them."""
+    con = duckdb.connect()
+    view = "pages" if name == "html_text" else "documents"
+    con.execute(f"CREATE TABLE {view} AS {table}")
+    con.execute(f"COPY {view} TO '{tmp_path}/{view}.parquet'")
+    df = MINE[name](spark, str(tmp_path))
+    found = con.execute(SQL[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())

@@ -139,7 +139,9 @@ def html_hostile(spark, sf):
 
 
 def references_decoded(spark, sf):
-    coded = F.concat(F.lit("&lt;&#8364;&#x41;&eacute;&amp;amp;&nothing;&"), F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")))
+    # before a letter or # the & is written as a reference too, as it would begin one with what the text has there
+    last = F.when(F.col("text").rlike("^[#A-Za-z]"), "&amp;").otherwise("&")
+    coded = F.concat(F.lit("&lt;&#8364;&#x41;&eacute;&amp;amp;&nothing;"), last, F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")))
     return load(spark, sf, "documents").select("doc_id", T.decode_references(coded).alias("text"))
 
 

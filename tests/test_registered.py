@@ -77,3 +77,8 @@ def test_references(spark, tmp_path, name, table):
     df = MINE[name](spark, str(tmp_path))
     found = con.execute(SQL[name])
     assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())
+
+
+def test_generation_metrics_broadcast_no_pairs(spark, sf):
+    """Joins by shuffles whatever their sizes, small as these are."""
+    assert "Broadcast" not in MINE["rouge_l_bleu"](spark, sf)._jdf.queryExecution().executedPlan().toString()

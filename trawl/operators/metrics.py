@@ -95,18 +95,18 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 
 def stemmed(pairs: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """pairs with the given texts as their lower-case runs of letters and digits, stemmed, a blank between them. Keys tell the pairs apart. Each different word is stemmed once."""
+    """pairs with the given texts as their lower-case runs of letters and digits, stemmed, a blank between them. Keys tell the pairs apart. Each different word is stemmed once. What grows with the pairs is joined by shuffles and never broadcast."""
     sides = None
     for c in columns:
         rows = pairs.select(*keys, F.lit(c).alias("_c"), F.posexplode(tokens(F.col(c))).alias("_p", "word"))
         sides = rows if sides is None else sides.unionByName(rows)
     sides = cut(sides)
     known = cut(stems(sides.select("word").distinct()))
-    texts = sides.join(known, "word").groupBy(*keys, "_c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "stem"))), lambda x: x["stem"]), " ").alias("_t"))
+    texts = sides.join(known.hint("merge"), "word").groupBy(*keys, "_c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "stem"))), lambda x: x["stem"]), " ").alias("_t"))
     # a text without words has no row
     made = texts.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, F.col("_t"))).alias(c) for c in columns])
     rest = [c for c in pairs.columns if c not in columns]
-    return pairs.select(*rest).join(made, keys, "left").select(*rest, *[F.when(F.col(c).isNotNull(), F.col(c)).otherwise("").alias(c) for c in columns])
+    return pairs.select(*rest).join(made.hint("merge"), keys, "left").select(*rest, *[F.when(F.col(c).isNotNull(), F.col(c)).otherwise("").alias(c) for c in columns])
 
 
 #: How the 13a tokenizer parts a text: what it replaces, with what; the second list after a blank was put on either side.
@@ -140,8 +140,8 @@ def bleu(pairs: DataFrame, keys: list[str], prediction: str = "prediction", gold
         grams = F.concat(*[F.transform(ngrams(F.col(side), n), named(n)) for n in range(1, order + 1)])
         return rows.select(*keys, F.explode(grams).alias("x")).select(*keys, "x.n", "x.g").groupBy(*keys, "n", "g").agg(F.count("*").alias(name))
 
-    hits = counted("p", "a").join(counted("g", "b"), [*keys, "n", "g"]).groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"h{n}") for n in range(1, order + 1)])
-    one = rows.select(*keys, F.size("p").alias("_p"), F.size("g").alias("_g")).join(hits, keys, "left").na.fill(0, [f"h{n}" for n in range(1, order + 1)])
+    hits = counted("p", "a").join(counted("g", "b").hint("merge"), [*keys, "n", "g"]).groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"h{n}") for n in range(1, order + 1)])
+    one = rows.select(*keys, F.size("p").alias("_p"), F.size("g").alias("_g")).join(hits.hint("merge"), keys, "left").na.fill(0, [f"h{n}" for n in range(1, order + 1)])
     logs, used, missed = F.lit(0.0), F.lit(0), F.lit(0)
     for n in range(1, order + 1):
         there = F.greatest(F.col("_p") - (n - 1), F.lit(0))

@@ -274,7 +274,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """A user's turn as the prediction, the assistant's next one as gold."""
     c = load(spark, sf, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
-    return c.where("role = 'user'").join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("prediction"), "gold")
+    return c.where("role = 'user'").join(a.hint("merge"), ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("prediction"), "gold")
 
 
 def rouge_n(spark, sf):
@@ -301,7 +301,7 @@ def rouge_l_bleu(spark, sf):
     keys = ["conv_id", "turn"]
     rows = metrics.stemmed(turns(spark, sf), keys, "prediction", "gold").withColumn("key", F.concat_ws("-", *keys))
     bleu = metrics.bleu(turns(spark, sf), keys).select(F.concat_ws("-", *keys).alias("key"), "bleu")
-    return metrics.sequence_scores(rows, "key").join(bleu, "key")
+    return metrics.sequence_scores(rows, "key").join(bleu.hint("merge"), "key")
 
 
 def prompts(spark, sf):

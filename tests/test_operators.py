@@ -397,3 +397,22 @@ def test_encode(spark):
         return model
 
     assert {tuple(r) for r in encode.score_pairs(pairs, q, c, scorer).collect()} == {(0, "c0", 13.0), (0, "c1", 11.0), (1, "c0", 13.0)}
+
+
+def test_gold_that_measures_look_at(spark, tmp_path):
+    """Few rows of the gold of large labels, the same metrics as with all of it."""
+    from trawl.operators import diagnose, metrics
+    from trawl.plans import tables as P
+
+    rows = [(i, [1.0, float(i % 7)], None if i % 97 == 5 else 9 if i == 600 else i % 2) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sf, q = str(tmp_path), P.vector_queries(spark, str(tmp_path))
+    run = spark.createDataFrame([("s", i, (i * 31 + r * 17) % 2000, 1.0 / r, r) for i in range(0, 2000, 50) for r in range(1, 31)], "system string, qid long, chunk_id long, score double, rank int").where("qid <> chunk_id")
+    filings = P.vectors(spark, sf).select("chunk_id", F.floor(F.col("chunk_id") / 25).alias("filing"))
+    every, near = P.vector_qrels(spark, sf), P.near_qrels(spark, sf, run, filings=filings)
+    assert near.count() < 40 * (30 + 3 * 21 + 20) < every.count()
+    assert near.exceptAll(every).count() == 0
+    same = lambda f: sorted(map(repr, f(every).collect()))
+    for f in (lambda g: metrics.per_query(run, g, q, n_gold=P.gold_counts(spark, sf)), lambda g: metrics.ndcg_of_lists(run, g, q), lambda g: diagnose.first_ranks(run, g, q, 30), lambda g: diagnose.failures(run, g, filings, q), lambda g: g.groupBy("qid").agg(F.min("chunk_id"))):
+        assert sorted(map(repr, f(near).collect())) == same(f)
+    assert sorted(map(repr, metrics.per_query(run, near, q, n_gold=P.gold_counts(spark, sf)).collect())) == sorted(map(repr, metrics.per_query(run, every, q).collect()))

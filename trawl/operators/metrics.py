@@ -31,11 +31,13 @@ def _name(stem: str, k: int, exponential: bool) -> str:
     return f"{stem}{'_exp' if exponential else ''}_{k}"
 
 
-def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, recall: tuple[int, ...] = CUTS, cuts: tuple[tuple[int, bool], ...] = ((10, False), (20, False), (10, True))) -> DataFrame:
+def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, recall: tuple[int, ...] = CUTS, cuts: tuple[tuple[int, bool], ...] = ((10, False), (20, False), (10, True)), n_gold: DataFrame | None = None) -> DataFrame:
     """system, qid, mrr_10, ndcg_10, ndcg_20, ndcg_exp_10, recall_5 and so on, rounded to 9 digits, a row for every query and system.
 
     A query that a run misses, or that has no gold, has 0 everywhere. Runs are
-    joined to gold before anything is summed: only hits are grouped.
+    joined to gold before anything is summed: only hits are grouped. With n_gold
+    (qid, n_gold), qrels need only have the gold that runs have and each query's
+    best grades.
     """
     hits = runs.join(qrels.select("qid", "chunk_id", "grade"), ["qid", "chunk_id"])
     found = hits.groupBy("system", "qid").agg(
@@ -44,7 +46,8 @@ def per_query(runs: DataFrame, qrels: DataFrame, queries: DataFrame, recall: tup
         *[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in recall],
     )
     every = queries.select("qid").distinct().join(runs.select("system").distinct())  # systems are a handful
-    rows = every.join(found, ["system", "qid"], "left").join(ideal_dcg(qrels, cuts), "qid", "left")
+    ideal = ideal_dcg(qrels, cuts) if n_gold is None else ideal_dcg(qrels, cuts).drop("n_gold").join(n_gold, "qid")
+    rows = every.join(found, ["system", "qid"], "left").join(ideal, "qid", "left")
     share = lambda a, b: F.round(F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0)), 9)
     return rows.select("system", "qid", F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 9).alias("mrr_10"), *[share(_name("dcg", k, e), _name("idcg", k, e)).alias(_name("ndcg", k, e)) for k, e in cuts], *[share(f"hits_{k}", "n_gold").alias(f"recall_{k}") for k in recall])
 

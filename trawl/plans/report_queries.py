@@ -12,9 +12,9 @@ from trawl.operators import chunk, label, metrics, mine, retrieve, select, split
 from trawl.plans import run_queries as R
 from trawl.plans import text_queries as X
 from trawl.plans.stages import Stage, run_stages
-from trawl.plans.tables import chunks, load, questions, vector_qrels, vector_queries, vectors
+from trawl.plans.tables import chunks, gold_counts, load, near_qrels, questions, vector_qrels, vector_queries, vectors
 from trawl.sources import io, schemas
-from trawl.sources.store import shared_dir
+from trawl.sources.store import cut, shared_dir
 
 #: What weighted_pairs leaves out.
 STOP = T.ENGLISH_STOP_WORDS
@@ -255,20 +255,23 @@ def mining_report(spark, sf):
 
 def negatives_half(spark, sf):
     """Negatives of another retriever: its first six of the top 50."""
-    return mine.basic(R.half_run(spark, sf, 50), vector_qrels(spark, sf), 50, 6)
+    run = cut(R.half_run(spark, sf, 50))
+    return mine.basic(run, near_qrels(spark, sf, run), 50, 6)
 
 
 # --- runs ----------------------------------------------------------------------
 
 
 def ndcg_check(spark, sf):
-    return metrics.ndcg_of_lists(R.dense_run(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf))
+    run = cut(R.dense_run(spark, sf))
+    return metrics.ndcg_of_lists(run, near_qrels(spark, sf, run), vector_queries(spark, sf))
 
 
 def routed_subset(spark, sf):
     routes = R.vector_routes(spark, sf)
     runs = [r.select(F.lit(name).alias("system"), "qid", "chunk_id", "score", "rank") for name, r in (("dense", R.dense_run(spark, sf)), ("routed", retrieve.ranked(R.inside_scores(routes, spark, sf), R.DEPTH, "qid")))]
-    return metrics.routed_means(metrics.per_query(runs[0].unionByName(runs[1]), vector_qrels(spark, sf), vector_queries(spark, sf)), routes)
+    both = cut(runs[0].unionByName(runs[1]))
+    return metrics.routed_means(metrics.per_query(both, near_qrels(spark, sf, both), vector_queries(spark, sf), n_gold=gold_counts(spark, sf)), routes)
 
 
 def two_rerankers(spark, sf):

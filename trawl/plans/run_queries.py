@@ -9,7 +9,7 @@ from trawl.functions import text as T
 from trawl.functions.stem import stems, stems_sql
 from trawl.operators import diagnose, encode, metrics, mine, nearest, pairs, retrieve, select, stats
 from trawl.plans import text_queries as X
-from trawl.plans.tables import ascii_words, chunks, load, lower_ascii_words, questions, vector_qrels, vector_queries, vectors
+from trawl.plans.tables import ascii_words, chunks, gold_counts, load, lower_ascii_words, near_qrels, questions, vector_queries, vectors
 from trawl.sources import io
 from trawl.sources.order import numbered
 from trawl.sources.store import cut
@@ -84,7 +84,8 @@ def all_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_query(all_runs(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf))
+    runs = cut(all_runs(spark, sf))
+    return metrics.per_query(runs, near_qrels(spark, sf, runs), vector_queries(spark, sf), n_gold=gold_counts(spark, sf))
 
 
 def filings_of_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +138,8 @@ def system_table(spark, sf):
 
 
 def recall_curve(spark, sf):
-    per = metrics.per_query(all_runs(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf), (1, 3, 5, 10, 20, 50, 100), ())
+    runs = cut(all_runs(spark, sf))
+    per = metrics.per_query(runs, near_qrels(spark, sf, runs), vector_queries(spark, sf), (1, 3, 5, 10, 20, 50, 100), (), gold_counts(spark, sf))
     names = [c for c in per.columns if c.startswith("recall")]
     means = per.groupBy("system").agg(*[F.avg(c).alias(c) for c in names])
     return io.unpivot_metrics(means, "system", names).select("system", F.substring("metric", 8, 9).cast("int").alias("k"), F.round("value", 6).alias("recall"))
@@ -163,12 +165,13 @@ def mean_deltas(spark, sf):
 
 
 def failure_decomposition(spark, sf):
-    return diagnose.failures(all_runs(spark, sf), vector_qrels(spark, sf), filings_of_vectors(spark, sf), vector_queries(spark, sf))
+    runs, filings = cut(all_runs(spark, sf)), filings_of_vectors(spark, sf)
+    return diagnose.failures(runs, near_qrels(spark, sf, runs, filings=filings), filings, vector_queries(spark, sf))
 
 
 def rerank_movement(spark, sf):
-    runs = all_runs(spark, sf)
-    return diagnose.movement(runs.where("system = 'half'"), runs.where("system = 'rerank@50'"), vector_qrels(spark, sf))
+    runs = cut(all_runs(spark, sf))
+    return diagnose.movement(runs.where("system = 'half'"), runs.where("system = 'rerank@50'"), near_qrels(spark, sf, runs))
 
 
 def circularity(spark, sf):
@@ -176,15 +179,18 @@ def circularity(spark, sf):
     return diagnose.circularity(per_query(spark, sf), named)
 
 
+def dense_first(spark: SparkSession, sf: str, depth: int) -> DataFrame:
+    run = cut(dense_run(spark, sf, depth))
+    return diagnose.first_ranks(run, near_qrels(spark, sf, run), vector_queries(spark, sf), depth)
+
+
 def rank_histogram(spark, sf):
-    first = diagnose.first_ranks(dense_run(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf), DEPTH)
-    return diagnose.rank_histogram(first, DEPTH)
+    return diagnose.rank_histogram(dense_first(spark, sf, DEPTH), DEPTH)
 
 
 def rank_histogram_deep(spark, sf):
     """With all ranges of ranks, from a run of depth 1000."""
-    first = diagnose.first_ranks(dense_run(spark, sf, 1000), vector_qrels(spark, sf), vector_queries(spark, sf), 1000)
-    return diagnose.rank_histogram(first, 1000, "beyond")
+    return diagnose.rank_histogram(dense_first(spark, sf, 1000), 1000, "beyond")
 
 
 def ratio_gains(spark, sf):
@@ -192,7 +198,7 @@ def ratio_gains(spark, sf):
 
 
 def gold_separation(spark, sf):
-    return diagnose.separation(diagnose.first_ranks(dense_run(spark, sf), vector_qrels(spark, sf), vector_queries(spark, sf), DEPTH))
+    return diagnose.separation(dense_first(spark, sf, DEPTH))
 
 
 def embedding_geometry(spark, sf):
@@ -206,7 +212,8 @@ def unit_vectors(spark, sf):
 
 
 def negatives_basic(spark, sf):
-    return mine.basic(dense_run(spark, sf, 50), vector_qrels(spark, sf), 50, 8)
+    run = cut(dense_run(spark, sf, 50))
+    return mine.basic(run, near_qrels(spark, sf, run), 50, 8)
 
 
 def by_document(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,3 +78,21 @@ def test_windows_and_clipping(spark, texts, ranks):
     assert {r.id: r.n_tokens for r in S.subword_lengths(df, ranks).collect()} == {i: len(v) for i, v in coded.items()}
     ratio = S.tokens_per_word(df, ranks, F.size(words(F.col("text")))).first()[0]
     assert ratio == pytest.approx(sum(map(len, coded.values())) / sum(len(t.split()) for t in texts), rel=0.01)
+
+
+def test_batches_are_cut_by_their_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from trawl.sources.store import slices
+
+    rows = [["a"] * 3, None, [], ["b"] * 9, ["c"], ["d"] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows, pa.list_(pa.string()))], ["i", "p"])
+    assert [b.column(0).to_pylist() for b in slices(batch, 1, 5)] == [[0, 1, 2], [3], [4, 5]]
+    assert list(slices(batch.slice(0, 0), 1, 5)) == []
+    seen = []
+    monkeypatch.setattr(S, "PIECES", 5)
+    monkeypatch.setattr(S, "tokens_of", lambda p, ranks: ([1, 2], [1, 1]))
+    for b in S._encoding({})(iter([batch])):
+        seen.append(b.num_rows)
+        assert b.column(1).to_pylist() == [[1, 2] * len(rows[i] or []) for i in b.column(0).to_pylist()]
+    assert seen == [3, 1, 2]

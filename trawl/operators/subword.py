@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from trawl.operators.chunk import window_starts
+from trawl.sources.store import slices
 
 #: Fixed value: how byte-level vocabularies of this kind part a text; together the pieces are the text.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a task keeps.
 KEPT = 200_000
+#: Pieces that are encoded at a time.
+PIECES = 1 << 18
 
 Ranks = dict[bytes, int]
 
@@ -85,7 +88,7 @@ def _encoding(ranks: Ranks):
     known: dict[str, tuple[list[int], list[int]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1, PIECES)):
             lists = b.column(b.num_columns - 1)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()

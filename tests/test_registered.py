@@ -95,3 +95,18 @@ def test_coverage_of_odd_words(spark, tmp_path, name):
 def test_generation_metrics_broadcast_no_pairs(spark, sf):
     """Joins by shuffles whatever their sizes, small as these are."""
     assert "Broadcast" not in MINE["rouge_l_bleu"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_gold_in_several_files(spark, sf, db, monkeypatch):
+    """Labels are sorted and written by several tasks, and lines get their places without a sort."""
+    monkeypatch.setattr(report_queries, "FILE_ROWS", 100, raising=False)
+    seen = []
+    write = report_queries.io.write_qrels
+    monkeypatch.setattr(report_queries.io, "write_qrels", lambda df, path: (seen.append(path), write(df, path)))
+    got = MINE["first_gold"](spark, sf)
+    found = db.execute(SQL["first_gold"])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in found.description], found.fetchall())
+    lines = report_queries.io.read_qrels_with_position(spark, seen[0])
+    assert lines.select("file_pos").distinct().count() == lines.agg({"file_pos": "max"}).first()[0] + 1 == lines.count()
+    assert spark.read.text(seen[0]).select("_metadata.file_path").distinct().count() > 1
+    assert "Sort " not in lines._jdf.queryExecution().executedPlan().toString()

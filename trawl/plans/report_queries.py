@@ -16,6 +16,8 @@ from trawl.plans.tables import chunks, gold_counts, load, near_qrels, questions,
 from trawl.sources import io, schemas
 from trawl.sources.store import cut, shared_dir
 
+#: Labels of either grade for each file that one task sorts and writes.
+FILE_ROWS = 3_000_000
 #: What weighted_pairs leaves out.
 STOP = T.ENGLISH_STOP_WORDS
 
@@ -47,9 +49,11 @@ def gold_sets(spark, sf):
 
 
 def first_gold(spark, sf):
-    """A query's gold that stands first in a file ordered by grade."""
+    """A query's gold that stands first in files ordered by grade, one after the other."""
     path = folder(spark, "qrels")
-    io.write_qrels(vector_qrels(spark, sf).where("grade = 2").coalesce(1).sortWithinPartitions("qid", F.desc("chunk_id")), path)
+    order = ["qid", F.desc("chunk_id")]
+    files = -(-(gold_counts(spark, sf).agg(F.sum("n_gold")).first()[0] or 1) // FILE_ROWS)
+    io.write_qrels(vector_qrels(spark, sf).where("grade = 2").repartitionByRange(files, *order).sortWithinPartitions(*order), path)
     return select.first_by_position(io.read_qrels_with_position(spark, path), "qid", "chunk_id", "file_pos")
 
 

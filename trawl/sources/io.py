@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from trawl.functions.text import strip_undecodable
 from trawl.sources import schemas
-from trawl.sources.order import numbered
+from trawl.sources.store import cut
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +55,15 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels_with_position(spark: SparkSession, path: str) -> DataFrame:
-    """qid, chunk_id, grade of every line, with file_pos, the order in which lines stand, file by file; for "first gold". Splits of a file are read side by side and numbered by where they begin."""
+    """qid, chunk_id, grade of every line, with file_pos, the order in which lines stand, file by file; for "first gold". Splits of a file are read side by side, each counts its lines as they come, and what earlier splits hold is added, a number for each split; nothing is sorted."""
     lines = spark.read.schema(schemas.QRELS).option("sep", "\t").option("header", True).option("enforceSchema", True).csv(path)
-    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
-    return numbered(lines, "_file", "_block", "_line", name="file_pos").drop("_file", "_block", "_line")
+    lines = cut(lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")))
+    before, total = [], 0
+    for r in lines.groupBy("_file", "_block").agg(F.min("_line").alias("a"), F.count("*").alias("n")).orderBy("_file", "_block").collect():
+        before.append((r["_file"], r["_block"], total - r["a"]))
+        total += r["n"]
+    splits = spark.createDataFrame(before, "_file string, _block long, _add long")
+    return lines.join(F.broadcast(splits), ["_file", "_block"]).withColumn("file_pos", F.col("_line") + F.col("_add")).drop("_file", "_block", "_line", "_add")
 
 
 def gold_sets(qrels: DataFrame) -> DataFrame:

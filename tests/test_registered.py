@@ -110,3 +110,14 @@ def test_first_gold_in_several_files(spark, sf, db, monkeypatch):
     assert lines.select("file_pos").distinct().count() == lines.agg({"file_pos": "max"}).first()[0] + 1 == lines.count()
     assert spark.read.text(seen[0]).select("_metadata.file_path").distinct().count() > 1
     assert "Sort " not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_pairs_joins_no_pairs(spark, sf, db, monkeypatch):
+    """The best chunk from the threshold on comes from blocks with bounds, not from all pairs that share a rare term."""
+    def refused(*_):
+        raise AssertionError("pairs are joined")
+
+    monkeypatch.setattr(report_queries.retrieve, "cosine_pairs", refused)
+    got = MINE["weighted_pairs"](spark, sf)
+    found = db.execute(SQL["weighted_pairs"])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in found.description], found.fetchall())

@@ -131,3 +131,22 @@ def test_copies_and_long_pages_hide_no_fixed_text(spark):
     assert len(got) == len(rows)
     for i, _, h in rows:
         assert got[i] == "\n".join(re.findall("<p>(.*?)</p>", h))
+
+
+def test_all_pages_are_aligned_not_the_first_few(spark):
+    """A text on 24 of 40 pages, those that come first in any order by content among them, is no text of the host's wrapper."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(30))
+    page = lambda n, told: f"<body><div class=k>{told}</div><p>{own(n)}</p><p>More {n}.</p></body>"
+    key = lambda h: X.content_key(X.blocks_of(h))
+    with_it = sorted(range(40), key=lambda n: key(page(n, "Shared line.")))[:24]
+    html = {n: page(n, "Shared line." if n in with_it else f"Line of {n}.") for n in range(40)}
+    assert set(sorted(html, key=lambda n: key(html[n]))[:8]) <= set(with_it)
+    got = main_text(spark.createDataFrame([(n, "http://many.example/1", h) for n, h in html.items()], "page_id long, url string, html string")).collect()
+    assert sum(g.text.startswith("Shared line.") for g in got) == 24
+    assert sum(g.text.startswith("Line of") for g in got) == 16
+
+
+def test_long_streams_are_aligned_to_their_end():
+    own = lambda n, i: f"{n} text {i}"
+    page = lambda n: f"<body>{''.join(f'<p>{own(n, i)}</p>' for i in range(X.ALIGNED))}<div class=z>Last line.</div></body>"
+    assert infer([page(n) for n in range(4)]) == {"body/div.z": ["Last line."]}

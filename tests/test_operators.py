@@ -416,3 +416,22 @@ def test_gold_that_measures_look_at(spark, tmp_path):
     for f in (lambda g: metrics.per_query(run, g, q, n_gold=P.gold_counts(spark, sf)), lambda g: metrics.ndcg_of_lists(run, g, q), lambda g: diagnose.first_ranks(run, g, q, 30), lambda g: diagnose.failures(run, g, filings, q), lambda g: g.groupBy("qid").agg(F.min("chunk_id"))):
         assert sorted(map(repr, f(near).collect())) == same(f)
     assert sorted(map(repr, metrics.per_query(run, near, q, n_gold=P.gold_counts(spark, sf)).collect())) == sorted(map(repr, metrics.per_query(run, every, q).collect()))
+
+
+def test_words_are_made_of_top_chunks_alone(spark, monkeypatch):
+    """Coverage splits the texts of candidates, not those of the whole corpus."""
+    from trawl.operators import label
+
+    made = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        made.add(1)
+        return sorted(set(text.split()))
+
+    monkeypatch.setattr(label, "word_set", F.udf(split, "array<string>"))
+    corpus = spark.range(2000).selectExpr("concat('c', id) AS chunk_id", "concat('word', id, ' other') AS text")
+    refs = spark.createDataFrame([(1, "word5 other"), (2, "word7 none")], "ref long, text string")
+    scores = spark.createDataFrame([(1, "c5", 0.9), (1, "c6", 0.8), (2, "c7", 0.7), (2, "c9", 0.1)], "ref long, chunk_id string, score double")
+    got = {(r.ref, r.chunk_id): (r.coverage, r.grade) for r in label.graded_by_coverage(scores, refs, corpus, top=2).collect()}
+    assert got == {(1, "c5"): (1.0, 2), (1, "c6"): (0.5, 1), (2, "c7"): (0.5, 1)}
+    assert made.value < 100

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import coverage, named, tokens, word_set
 from trawl.operators.retrieve import ranked
+from trawl.sources.store import cut
 
 
 def align(scores: DataFrame, least: float = 0.30) -> DataFrame:
@@ -20,9 +21,14 @@ def align(scores: DataFrame, least: float = 0.30) -> DataFrame:
 
 
 def graded_by_coverage(scores: DataFrame, refs: DataFrame, corpus: DataFrame, top: int = 20, low: float = 0.50, high: float = 0.80) -> DataFrame:
-    """ref, chunk_id, coverage, grade: of the top chunks those that have enough of the evidence's words, 2 from `high` on and 1 from `low` on. Blank evidence has no labels."""
-    cand = ranked(scores, top, "ref").select("ref", "chunk_id").join(refs.select("ref", word_set(F.col("text")).alias("e")), "ref").join(corpus.select("chunk_id", word_set(F.col("text")).alias("c")), "chunk_id")
-    share = cand.select("ref", "chunk_id", coverage(F.col("e"), F.col("c")).alias("coverage")).where(F.col("coverage") >= low)
+    """ref, chunk_id, coverage, grade: of the top chunks those that have enough of the evidence's words, 2 from `high` on and 1 from `low` on. Blank evidence has no labels.
+
+    The top chunks are written first: then their number is known when they are
+    joined, and words are those of the top chunks alone, not of the whole corpus.
+    """
+    near = cut(ranked(scores, top, "ref").select("ref", "chunk_id"))
+    cand = corpus.select("chunk_id", F.col("text").alias("_c")).join(near, "chunk_id").join(refs.select("ref", F.col("text").alias("_e")), "ref")
+    share = cand.select("ref", "chunk_id", word_set(F.col("_e")).alias("e"), word_set(F.col("_c")).alias("c")).select("ref", "chunk_id", coverage(F.col("e"), F.col("c")).alias("coverage")).where(F.col("coverage") >= low)
     return share.withColumn("grade", F.when(F.col("coverage") >= high, 2).otherwise(1))
 
 

@@ -44,15 +44,16 @@ def own_filings(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def in_filing_pairs(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """qid, chunk_id: the chunks of each query's own filing."""
-    return corpus.select("chunk_id", F.col("filing").alias("own")).join(own_filings(qrels, corpus), "own").select("qid", "chunk_id")
+    return corpus.select("chunk_id", F.col("filing").alias("own")).join(cut(own_filings(qrels, corpus)), "own").select("qid", "chunk_id")
 
 
 def candidates(run: DataFrame, inside: DataFrame, qrels: DataFrame, corpus: DataFrame, depth: int = 200, reach: int = 1) -> DataFrame:
     """qid, chunk_id, score, kind: what may become a negative of a query, "in" its gold's filing or "cross" from another, without gold and what lies beside it."""
     where = corpus.select("chunk_id", "filing", "chunk_idx")
-    own = own_filings(qrels, corpus)
-    banned = neighbours(qrels.join(where, "chunk_id"), reach).join(where, ["filing", "chunk_idx"]).select("qid", "chunk_id")
-    top = ranked(run.select("qid", "chunk_id", "score"), depth, "qid").join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
+    own = cut(own_filings(qrels, corpus))
+    # what is small is written before it meets the corpus, so that Spark knows its size
+    banned = cut(neighbours(qrels.join(where, "chunk_id"), reach)).join(where, ["filing", "chunk_idx"]).select("qid", "chunk_id")
+    top = cut(ranked(run.select("qid", "chunk_id", "score"), depth, "qid")).join(where.select("chunk_id", "filing"), "chunk_id").join(own, "qid")
     cross = top.where(F.col("filing") != F.col("own")).select("qid", "chunk_id", "score", F.lit("cross").alias("kind"))
     inside = inside.select("qid", "chunk_id", "score", F.lit("in").alias("kind"))
     return cut(cross.unionByName(inside).join(banned, ["qid", "chunk_id"], "left_anti"))

@@ -43,10 +43,10 @@ def bm25_idf(stats: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
 
 
 def all_scores(index: TermIndex, wanted: DataFrame, idf: DataFrame, pairs: DataFrame | None, k1: float, b: float) -> DataFrame:
-    """qid, chunk_id, score of given pairs, or of all that share a term: as many rows as there are such pairs."""
+    """qid, chunk_id, score of given pairs, or of all that share a term: as many rows as there are such pairs. Given pairs are written first, so that the index is shuffled only if they are too many to broadcast."""
     rows = index.rows.select("chunk_id", "dl", "terms", "counts")
     if pairs is not None:
-        rows = rows.join(pairs.select("qid", "chunk_id").distinct(), "chunk_id")
+        rows = rows.join(cut(pairs.select("qid", "chunk_id").distinct()), "chunk_id")
     post = rows.select(*rows.columns[:2], *rows.columns[4:], F.explode(F.arrays_zip("terms", "counts")).alias("p")).withColumn("term", F.col("p.terms")).withColumn("tf", F.col("p.counts"))
     hit = post.join(wanted, "term" if pairs is None else ["qid", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import lower_words
 from trawl.operators import nearest
-from trawl.operators.blockmax import TermIndex, bm25_impact, hits, search, term_index, unit_impact, with_norms
+from trawl.operators.blockmax import TermIndex, bm25_impact, capped_index, common_terms, hits, search, term_index, unit_impact, with_norms
 from trawl.sources.store import cut
 
 
@@ -126,6 +126,15 @@ def cosine_topk(sides: Weighted, k: int, query_key: str = "ref", least: float =
     return ranked(found, k, "qid").select(F.col("qid").alias(query_key), "chunk_id", "score")
 
 
+def capped_topk(queries: DataFrame, corpus: DataFrame, terms, k: int, most: int = 200_000, query_key: str = "ref", least: float = 0.0) -> DataFrame:
+    """cosine_topk() over the `most` commonest terms without storing an index: chunks are read three times, and what is written of them are the terms of the queries."""
+    stats, n = common_terms(corpus, terms, most)
+    q = cut(tfidf(postings(queries.withColumnRenamed(query_key, "qid"), "qid", terms(F.col("text"))), stats, n, "qid"))
+    factor = stats.select("term", rarity(n).alias("factor"))
+    sides = Weighted(q, capped_index(corpus, terms, stats, factor, q, n), stats)
+    return cosine_topk(sides, k, query_key, least, index=sides.index)
+
+
 def rare_terms(sides: Weighted, least: float) -> DataFrame:
     """qid, term: of each query all but its commonest terms, as many as together can't give a cosine of `least`, since a chunk's vector has length 1."""
     order = Window.partitionBy("qid").orderBy(F.desc("df"), "term")

@@ -187,8 +187,8 @@ def subword_ratio(spark, sf):
 
 def weighted_pairs(spark, sf):
     """tfidf_align over words without stop words and pairs of neighbours, the vocabulary capped."""
-    sides = retrieve.weigh(questions(spark, sf).withColumnRenamed("qid", "ref"), retrieve.term_index(chunks(spark, sf), T.analysed), T.analysed)
-    return label.align(retrieve.cosine_topk(sides, 1, least=0.30)).select("ref", "chunk_id", F.round("score", 6).alias("score"))
+    best = retrieve.capped_topk(questions(spark, sf).withColumnRenamed("qid", "ref"), chunks(spark, sf), T.analysed, 1, least=0.30)
+    return label.align(best).select("ref", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # --- filters, labels, splits ---------------------------------------------------

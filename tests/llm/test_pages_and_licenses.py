@@ -150,3 +150,20 @@ def test_long_streams_are_aligned_to_their_end():
     own = lambda n, i: f"{n} text {i}"
     page = lambda n: f"<body>{''.join(f'<p>{own(n, i)}</p>' for i in range(X.ALIGNED))}<div class=z>Last line.</div></body>"
     assert infer([page(n) for n in range(4)]) == {"body/div.z": ["Last line."]}
+
+
+def test_pages_with_their_least_hash_in_a_shared_text_are_all_aligned(spark):
+    """Ten pages whose own words are the most of them aren't one page; one article with ten dates is."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(30))
+    notice = " ".join(f"shared{k}" for k in range(25))
+    page = lambda n: f"<body><article><h1>Title {n}</h1><div class=k7>{notice}</div><p>{own(n)}</p></article></body>"
+    key = lambda h: X.content_key(X.blocks_of(h))
+    common = Counter(key(page(n)) for n in range(200)).most_common(1)[0][0]
+    some = [n for n in range(200) if key(page(n)) == common][:10]
+    assert len(some) == 10
+    dated = lambda n: f"<body><article><h1>Title</h1><p>{own(0)}</p><div class=z>Seen on day {n}.</div></article></body>"
+    rows = [(n, "http://same.example/1", page(n)) for n in some] + [(500 + n, "http://dated.example/1", dated(n)) for n in range(10)]
+    got = {g.page_id: g.text for g in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Title {n}\n{own(n)}" for n in some} | {500 + n: f"Title\n{own(0)}\nSeen on day {n}." for n in range(10)}
+    assert infer([page(n) for n in some]) == {"body/article/div.k7": [notice]}
+    assert infer([dated(n) for n in range(10)]) == {}
